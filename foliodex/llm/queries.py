@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliodex.llm import frequency, knn, neardup, pack, spans, split, tokenize
+from foliodex.llm import frequency, knn, neardup, pack, scans, spans, split, tokenize
 from foliodex.tables import current_contents, load
 
 
@@ -47,6 +47,20 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.least("file_id", "neighbour").alias("file_a"), F.greatest("file_id", "neighbour").alias("file_b")).distinct()
 
 
+def _scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.repair_scans(current_contents(spark, sf_dir, ~F.col("content").rlike(scans.TOO_WIDE)), "file_id", "content", "extraction_method", load(spark, sf_dir, "file_contents"), "content")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of scanned files with traces of paper pages, and of which kind."""
+    return _scans(spark, sf_dir).select("file_id", F.explode("kinds").alias("x")).select("file_id", "x.line_no", "x.kind")
+
+
+def p4_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repaired text of each scanned file."""
+    return _scans(spark, sf_dir).select("file_id", F.col("repaired").alias("text"))
+
+
 def p5_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every distinct keyword with its occurrences, its files and its mark."""
     known = load(spark, sf_dir, "files").select(F.col("id").alias("file_id")).distinct()
@@ -91,7 +105,7 @@ def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_pieces, p3_found, p3_neighbours, p5_found, p5_terms, p5_ngrams, p6_ids, p7_found, p7_containers, p8_found, p8_shared)}
+    return {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_pieces, p3_found, p3_neighbours, p4_found, p4_texts, p5_found, p5_terms, p5_ngrams, p6_ids, p7_found, p7_containers, p8_found, p8_shared)}
 
 
 CURRENT = """current AS (SELECT * FROM (SELECT DISTINCT * FROM file_contents)
@@ -120,13 +134,6 @@ s AS (SELECT file_id, max(length(trim(s, {_SPACE}))) AS n FROM sentences GROUP B
 w AS (SELECT file_id, max(length(w)) AS n FROM words GROUP BY 1)
 SELECT file_id, CASE WHEN p.n <= 4000 THEN 'paragraph' WHEN s.n <= 4000 THEN 'sentence' WHEN w.n <= 4000 THEN 'word' ELSE 'none' END AS finest
 FROM p JOIN s USING (file_id) JOIN w USING (file_id)""",
-        "p8_found": """WITH d AS (SELECT doc_id, text FROM documents WHERE length(text) >= 150),
-at_ AS (SELECT doc_id, i, hash(substr(text, i + 1, 150)) AS h FROM d, LATERAL unnest(range(0, length(text) - 149)) AS r(i)),
-shared AS (SELECT h FROM at_ GROUP BY h HAVING min(doc_id) <> max(doc_id)),
-s AS (SELECT DISTINCT doc_id, i FROM at_ WHERE h IN (SELECT h FROM shared)),
-e AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 150 THEN 0 ELSE 1 END AS apart FROM s),
-g AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM e)
-SELECT doc_id, min(i) AS span_start, max(i) + 150 AS span_end FROM g GROUP BY doc_id, island""",
         "p5_terms": f"""WITH {_TERMS},
 held AS (SELECT * FROM terms WHERE keyword <> '' AND file_id IN (SELECT id FROM files)),
 total AS (SELECT count(DISTINCT file_id) AS n FROM held)
