@@ -196,7 +196,7 @@ def test_directory_scan(spark, tmp_path):
     assert scan.scan(spark, str(tmp_path / "missing")).count() == 0
     assert scan.scan(spark, str(tmp_path), "*.txt").count() == 1
     (tmp_path / "sub" / ".hidden").write_text("x")
-    assert {(r["filename"], r["file_size"]) for r in scan.walk(spark, str(tmp_path)).collect()} >= {(".hidden", 1), ("b.bin", 2), ("a.txt", 24)}
+    assert {(r["filename"], r["file_size"]) for r in scan.walk(spark, str(tmp_path)).collect()} >= {(".hidden", 1), ("b.bin", 2), ("a.txt", 25)}
     stat = scan.stat_rows(scan.scan(spark, str(tmp_path / "a.txt"))).first()
     assert stat["created"] is not None
 
