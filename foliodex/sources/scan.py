@@ -81,7 +81,7 @@ def stat_rows(paths: DataFrame) -> DataFrame:
             for p in rows["file_path"]:
                 try:
                     s = os.stat(p)
-                    found.append((os.path.realpath(p), pd.Timestamp(s.st_ctime, unit="s", tz="UTC"), pd.Timestamp(s.st_atime, unit="s", tz="UTC")))
+                    found.append((os.path.realpath(p), *(pd.Timestamp(t, unit="ns", tz="UTC").floor("us") for t in (s.st_ctime_ns, s.st_atime_ns))))
                 except OSError:
                     found.append((p, pd.NaT, pd.NaT))
             yield pd.DataFrame(found, columns=["file_path", "created", "accessed"])
