@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,28 +93,39 @@ def _chunk_rows(df: DataFrame, least: int) -> DataFrame:
 
 
 def _stretch_rows(df: DataFrame, least: int) -> DataFrame:
-    """(hash, digest, k, owner) of each stretch of the chunks (digest, owner, lo, n, text)."""
+    """(hash, digest, k, owner) of each stretch of the chunks of (text, chunks), chunks being (digest, owner, lo, n)."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lo, n, texts = (batch.column(i).to_pylist() for i in (2, 3, 4))
+            own = batch.column(1)
+            of = pc.list_parent_indices(own).to_pylist()
+            flat = own.flatten()
+            lo, n = flat.field("lo").to_pylist(), flat.field("n").to_pylist()
+            texts = batch.column(0)
+            kept, text = -1, ""
             at = 0
             while at < len(lo):
-                end, total = at, 0
+                pieces, end, total = [], at, 0
                 while end < len(lo) and total < PART:
+                    if of[end] != kept:
+                        kept, text = of[end], texts[of[end]].as_py()
+                    pieces.append(text[lo[end] : lo[end] + n[end] + least - 1])
                     total += n[end] + least
                     end += 1
-                codes, starts = code_points([texts[i][lo[i] : lo[i] + n[i] + least - 1] for i in range(at, end)])
+                codes, starts = code_points(pieces)
                 count = np.array(n[at:end])
                 row = np.repeat(np.arange(end - at), count)
                 k = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-                first = starts[row] + k
-                hashed = span_hash(prefix_sums(codes), first, first + least).view(np.int64)
-                take = pa.array(row + at)
-                yield pa.RecordBatch.from_arrays([pa.array(hashed), batch.column(0).take(take), pa.array(k.astype(np.int32)), batch.column(1).take(take)], names=["hash", "digest", "k", "owner"])
+                first = np.minimum(starts[row] + k, len(codes) - least)
+                sums = prefix_sums(codes)
+                hashed = span_hash(sums, first, first + least).view(np.int64)
+                # of several texts of one key, a chunk is in one
+                its = span_hash(sums, starts, np.minimum(starts + count + least - 1, len(codes))).view(np.int64) == flat.field("digest").slice(at, end - at).to_numpy()
+                take = pa.array(row[its[row]] + at)
+                yield pa.RecordBatch.from_arrays([pa.array(hashed[its[row]]), flat.field("digest").take(take), pa.array(k[its[row]].astype(np.int32)), flat.field("owner").take(take)], names=["hash", "digest", "k", "owner"])
                 at = end
 
-    return df.select("digest", "owner", "lo", "n", "text").mapInArrow(compute, "hash long, digest long, k int, owner long")
+    return df.select("text", "chunks").mapInArrow(compute, "hash long, digest long, k int, owner long")
 
 
 def _merged(ranges: DataFrame) -> DataFrame:
@@ -146,8 +158,9 @@ def shared_spans(df: DataFrame, key: str, text: str, least: int = LEAST) -> Data
     whole = held.join(distinct.where("owner is null").select("digest"), "digest", "left_semi").select("doc", F.col("lo").alias("a"), (F.col("lo") + F.col("n") + least - 1).alias("b"))
     # chunks that share their lowest value with another chunk, unless all of these are shared as a whole
     kin = distinct.groupBy("low").agg(F.count(F.lit(1)).alias("kinds"), F.count("owner").alias("single")).where("kinds > 1 and single > 0").select("low")
-    open_ = distinct.join(kin, "low", "left_semi").select("digest", "owner", "at.*")
-    stretches = stage(_stretch_rows(open_.join(docs, "doc"), least), "spans-stretches")
+    open_ = distinct.join(kin, "low", "left_semi").select("at.doc", F.struct("digest", "owner", "at.lo", "at.n").alias("chunk"))
+    by_doc = open_.groupBy("doc").agg(F.collect_list("chunk").alias("chunks"))  # no more than the document has
+    stretches = stage(_stretch_rows(by_doc.join(docs, "doc"), least), "spans-stretches")
     several = F.max(F.col("owner").isNull()) | (F.min("owner") != F.max("owner"))
     common = stretches.groupBy("hash").agg(several.alias("several"), F.count("owner").alias("single")).where("several and single > 0").select("hash")
     found = stretches.where("owner is not null").join(common, "hash", "left_semi").select("digest", "k").distinct()

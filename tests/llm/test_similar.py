@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from foliodex.llm import knn, neardup, spans
 
@@ -94,6 +95,9 @@ def test_shared_spans_against_brute_force(spark, words, seed):
     df = spark.createDataFrame([(k, t, 1, 2) for k, t in texts], "doc_id long, text string, low int, digest int")
     got = [tuple(r) for r in spans.shared_spans(df, "doc_id", "text").collect()]
     assert len(got) == len(set(got)) and set(got) == brute_spans(texts, 150)
+    twice = df.unionByName(df.where("doc_id < 9")).unionByName(df.where("doc_id = 100").withColumn("doc_id", F.lit(3).cast("long")))
+    both = {tuple(r) for r in spans.shared_spans(twice, "doc_id", "text").collect()}
+    assert both >= {r for r in brute_spans(texts, 150) if r[0] != 3} and (3, 0, len(shared[0])) in both
     part = {r["doc_id"]: r["shared_chars"] for r in spans.shared_part(df, "doc_id", "text").collect()}
     assert part[100] == len(shared[0]) and part[104] == 0 and len(part) == len(texts)
     assert spans.shared_spans(df.limit(0), "doc_id", "text").count() == 0
