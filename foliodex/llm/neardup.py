@@ -3,7 +3,8 @@
 A text's fingerprint is a row of min-hash words of its word shingles, cut into segments. Each segment has a
 table of Hamming distances to many reference fingerprints. Texts that agree in a segment have the same
 distances there, so pairs that differ in some coordinate in every table are discarded; that is an equi-join
-on the rows of the tables. What survives is verified on the texts themselves.
+on the rows of the tables. What survives is verified on the texts themselves. Where very many texts share a
+template, segments that come from it alone say nothing and are left out.
 """
 
 from __future__ import annotations
@@ -22,20 +23,28 @@ from foliodex.session import stage
 #: Segments, min-hash words in a segment, and reference fingerprints of a segment's table. Two texts of
 #: similarity s agree in no segment with probability (1 - s**WORDS)**SEGMENTS, 4e-5 at 0.7 and 2e-8 at 0.8.
 SEGMENTS, WORDS, REFERENCES = 24, 3, 12
+#: A shingle is hot if its bucket of so many stands in this share of the texts. Texts with more than ``TEMPLATE`` of their
+#: shingles hot are near-alike without being similar, and get keys of their rare shingles besides.
+BUCKETS, HOT, TEMPLATE = 1 << 20, 0.01, 0.15
 _random = np.random.default_rng(20)
 _SCALE = _random.integers(0, 2**32, (2, SEGMENTS * WORDS), np.uint32) | np.uint32(1)
 _PIVOTS = _random.integers(0, 2**32, (SEGMENTS, REFERENCES, WORDS), np.uint32)
 _SPREAD = _random.integers(0, 2**63, REFERENCES, np.uint64) | U(1)
 
 
-def fingerprints(runs: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Min-hash words (texts x SEGMENTS * WORDS) of texts that have ``counts`` shingles, each at least one."""
+def minima(runs: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Min-hashes (texts x SEGMENTS * WORDS) of texts that have ``counts`` shingles, each at least one."""
     starts = np.cumsum(counts) - counts
     high, low = (runs >> U(32)).astype(np.uint32), runs.astype(np.uint32)
     words = np.empty((len(counts), SEGMENTS * WORDS), np.uint32)
     for k in range(SEGMENTS * WORDS):
         words[:, k] = np.minimum.reduceat(high * _SCALE[0, k] + low * _SCALE[1, k], starts)
-    return (mix(words.astype(U) + U(1)) >> U(20)).astype(np.uint32)
+    return words
+
+
+def fingerprints(least: np.ndarray) -> np.ndarray:
+    """Fingerprints of min-hashes: their bits spread evenly."""
+    return (mix(least.astype(U) + U(1)) >> U(20)).astype(np.uint32)
 
 
 def pivot_rows(words: np.ndarray) -> np.ndarray:
@@ -48,8 +57,72 @@ def pivot_rows(words: np.ndarray) -> np.ndarray:
     return keys
 
 
-def sketch(rows: DataFrame, n: int) -> DataFrame:
+def bucket_counts(rows: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """How often each bucket of shingles stands in the texts of (key, version, text), and the number of texts; a fixed size, whatever the data."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, texts_ = np.zeros(BUCKETS, np.int64), 0
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            for a, b in slices(texts):
+                runs, counts = shingles(texts[a:b], n)
+                held += np.bincount((runs & U(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+                texts_ += int((counts > 0).sum())
+        met = np.flatnonzero(held)
+        for at in range(0, len(met), 50_000):
+            part = met[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(held[part])], names=["bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([texts_])], names=["bucket", "n"])
+
+    counted = rows.mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most BUCKETS + 1 rows
+    bucket, n_ = counted["bucket"].to_numpy(), counted["n"].to_numpy()
+    held = np.zeros(BUCKETS, np.int64)
+    held[bucket[bucket >= 0]] = n_[bucket >= 0]
+    return held, int(n_[bucket < 0].sum())
+
+
+def table_rows(runs: np.ndarray, counts: np.ndarray, held: np.ndarray, hottest: float, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all texts, each of at least one shingle, and each text's number of them.
+
+    Keys are the rows of the pivot tables, without those of segments all of whose words come from hot shingles: texts that
+    share a template would all meet there. Two texts with much of a template are compared by their rare shingles too: if
+    their similarity is ``least`` or more, they share one of the first ``n - ceil(least * n) + 1``, counted from the
+    rarest ones; so none is missed. ``held``: the count of each bucket; from ``hottest`` on its shingles are hot.
+    """
+    words = minima(runs, counts)
+    keys = pivot_rows(fingerprints(words))
+    kept = np.ones(keys.shape, bool)
+    is_hot = held[(runs & U(BUCKETS - 1)).astype(np.int64)] >= hottest
+    starts = np.cumsum(counts) - counts
+    extra: dict[int, np.ndarray] = {}
+    with_hot = np.flatnonzero(np.add.reduceat(is_hot, starts)) if len(counts) else np.empty(0, np.int64)
+    if len(with_hot):
+        mine = np.zeros(len(counts), bool)
+        mine[with_hot] = True
+        cold = ~is_hot & np.repeat(mine, counts)
+        n_cold = np.add.reduceat(cold.astype(np.int64), starts)
+        some = np.flatnonzero(mine & (n_cold > 0))
+        rare = np.full(words.shape, np.iinfo(np.uint32).max)
+        if len(some):
+            rare[some] = minima(runs[cold], n_cold[some])
+        from_hot = (rare > words).reshape(len(counts), SEGMENTS, WORDS).all(2)
+        kept[with_hot] = ~from_hot[with_hot]
+        for i in with_hot[n_cold[with_hot] < (1 - TEMPLATE) * counts[with_hot]].tolist():
+            own = np.unique(runs[starts[i] : starts[i] + counts[i]])
+            heat = held[(own & U(BUCKETS - 1)).astype(np.int64)]
+            if (heat >= hottest).mean() > TEMPLATE:
+                first = np.lexsort((own, heat))[: len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1]
+                extra[i] = mix(own[first] + U(SEGMENTS)).view(np.int64)
+    sizes = kept.sum(1)
+    if not extra:
+        return keys[kept], sizes
+    parts = [np.concatenate([keys[i][kept[i]], extra[i]]) if i in extra else keys[i][kept[i]] for i in range(len(counts))]
+    return np.concatenate(parts), np.array([len(p) for p in parts])
+
+
+def sketch(rows: DataFrame, n: int, held: np.ndarray, hottest: float, least: float) -> DataFrame:
     """(key, version, class, tables) for each row of (key, version, text) with at least ``n`` words; ``class`` is a hash of its words in order."""
+    held = np.minimum(held, np.iinfo(np.uint32).max).astype(np.uint32)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,8 +136,8 @@ def sketch(rows: DataFrame, n: int) -> DataFrame:
                 starts = np.cumsum(counts) - counts
                 place = np.arange(len(runs)) - np.repeat(starts, counts)
                 of = np.add.reduceat(mix(runs + place.astype(U)), starts).view(np.int64)
-                keys = pivot_rows(fingerprints(runs, counts))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(kept) + 1) * SEGMENTS, pa.int32()), pa.array(keys.ravel()))
+                keys, sizes = table_rows(runs, counts, held, hottest, least)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(keys))
                 at = pa.array(kept + a)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(of), lists], names=["key", "version", "class", "tables"])
 
@@ -108,7 +181,9 @@ def near_duplicates(df: DataFrame, key: str, text: str, version: str | None = No
     rows = df.select(df[key].cast("long").alias("key"), (df[version] if version else F.lit(None).cast("long")).alias("version"), df[text].alias("text"))
     rows = rows.where("key is not null")
     latest = rows.groupBy("key").agg(F.max("version").alias("latest"))
-    sketched = sketch(rows.where("text <> ''"), n)
+    filled = rows.where("text <> ''")
+    held, texts_ = bucket_counts(filled, n)
+    sketched = sketch(filled, n, held, max(20.0, HOT * texts_), least)
     current = sketched.join(latest, "key").where(F.col("version").eqNullSafe(F.col("latest")))
     members = stage(current.groupBy("key").agg(F.max(F.struct("class", "tables")).alias("x")).select("key", "x.class", "x.tables"), "neardup-members")
     # any member stands for its class; its text is read again for verification

@@ -41,6 +41,37 @@ def test_near_duplicates_against_brute_force(spark, words):
     assert neardup.expanded(*none).count() == 0
 
 
+@pytest.mark.parametrize("hot", [0.01, 0.3])
+def test_texts_that_share_a_template(spark, words, monkeypatch, hot):
+    monkeypatch.setattr(neardup, "HOT", hot)
+    rng = random.Random(7)
+    template = words(60, 77).split()
+    rows = []
+    for i in range(150):
+        own = words(rng.choice([5, 20, 40, 90]), 200 + i // 2).split()
+        if i % 2:
+            own = [w for w in own if rng.random() > 0.05]
+        part = template[: rng.choice([0, 20, 60])]
+        rows.append((i, " ".join(own[: len(own) // 2] + part + own[len(own) // 2 :])))
+    df = spark.createDataFrame(rows, "k long, t string")
+    got = {(r["a"], r["b"]) for r in neardup.expanded(*neardup.near_duplicates(df, "k", "t")).collect()}
+    s = sets(rows)
+    assert got == {(a, b) for a in s for b in s if a < b and len(s[a] & s[b]) >= 0.7 * len(s[a] | s[b]) - 1e-9}
+
+
+def test_segments_of_a_template_are_left_out():
+    rng = np.random.default_rng(2)
+    template = rng.integers(0, 2**63, 50, np.uint64)
+    texts = [np.concatenate([template, rng.integers(0, 2**63, 50, np.uint64)]) for _ in range(200)]
+    held = np.zeros(neardup.BUCKETS, np.int64)
+    held[(template & np.uint64(neardup.BUCKETS - 1)).astype(np.int64)] = 200
+    runs, counts = np.concatenate(texts), np.full(200, 100)
+    keys, sizes = neardup.table_rows(runs, counts, held, 50, 0.7)
+    plain, _ = neardup.table_rows(runs, counts, held, 1000, 0.7)
+    most = lambda x: np.unique(x, return_counts=True)[1].max()
+    assert most(plain) > 15 and most(keys) < 5 and sizes.min() > 31
+
+
 def test_only_the_newest_version_counts(spark, words):
     rows = [(1, 1, words(50, 1)), (1, 2, words(50, 2)), (2, 1, words(50, 1)), (3, 5, words(50, 2)), (4, 1, words(50, 1)), (4, 2, None)]
     df = spark.createDataFrame(rows, "k long, v int, t string")
