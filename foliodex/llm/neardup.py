@@ -58,7 +58,9 @@ def pivot_rows(words: np.ndarray) -> np.ndarray:
 
 
 def bucket_counts(rows: DataFrame, n: int) -> tuple[np.ndarray, int]:
-    """How often each bucket of shingles stands in the texts of (key, version, text), and the number of texts; a fixed size, whatever the data."""
+    """How often each bucket of shingles stands in the texts of (key, version, text), within a tenth, and the number of texts.
+
+    A megabyte, whatever the data."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, texts_ = np.zeros(BUCKETS, np.int64), 0
@@ -74,11 +76,20 @@ def bucket_counts(rows: DataFrame, n: int) -> tuple[np.ndarray, int]:
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(held[part])], names=["bucket", "n"])
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([texts_])], names=["bucket", "n"])
 
-    counted = rows.mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most BUCKETS + 1 rows
-    bucket, n_ = counted["bucket"].to_numpy(), counted["n"].to_numpy()
-    held = np.zeros(BUCKETS, np.int64)
-    held[bucket[bucket >= 0]] = n_[bucket >= 0]
-    return held, int(n_[bucket < 0].sum())
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels, texts_ = np.zeros(BUCKETS, np.uint8), 0
+        for batch in batches:
+            bucket, n_ = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            levels[bucket[bucket >= 0]] = np.rint(8 * np.log2(n_[bucket >= 0] + 1))
+            texts_ += int(n_[bucket < 0].sum())
+        yield pa.RecordBatch.from_arrays([pa.array([levels.tobytes()]), pa.array([texts_])], names=["levels", "texts"])
+
+    counted = rows.mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    # at most BUCKETS + 1 rows meet; one byte a bucket is told
+    found = counted.repartition(1).mapInArrow(gather, "levels binary, texts long").first()
+    if found is None:
+        return np.zeros(BUCKETS), 0
+    return np.exp2(np.frombuffer(found["levels"], np.uint8) / 8) - 1, found["texts"]
 
 
 def table_rows(runs: np.ndarray, counts: np.ndarray, held: np.ndarray, hottest: float, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +133,7 @@ def table_rows(runs: np.ndarray, counts: np.ndarray, held: np.ndarray, hottest:
 
 def sketch(rows: DataFrame, n: int, held: np.ndarray, hottest: float, least: float) -> DataFrame:
     """(key, version, class, tables) for each row of (key, version, text) with at least ``n`` words; ``class`` is a hash of its words in order."""
-    held = np.minimum(held, np.iinfo(np.uint32).max).astype(np.uint32)
+    held = held.astype(np.float32)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
