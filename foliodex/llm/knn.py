@@ -21,15 +21,22 @@ from foliodex.session import stage
 DIMENSIONS = {"local-small-64": 64, "online-mid-96": 96}
 #: Vectors of a model that its tree is fit on at most, and queries that calibrate it at most.
 SAMPLE, QUERIES = 20_000, 300
-#: Vectors a bin should hold, children of a node, rounds of k-means.
-BIN, BRANCHES, ROUNDS = 400, 12, 8
+#: Children of a node, rounds of k-means.
+BRANCHES, ROUNDS = 12, 8
 RECALL = 0.985
-#: Members and visitors of a bin that one task compares at once.
-MEMBERS, VISITORS = 2_000, 4_000
+#: Members and visitors of a bin that one task compares at once: a query is sent once for each bin it visits, unless the bin is fuller.
+MEMBERS, VISITORS = 16_000, 60_000
+#: Neighbours by single precision that are compared in double precision, and what single precision may be off.
+CLOSE, OFF = 24, 4e-6
 #: Cosines count in millionths.
 MILLION = 1_000_000
 
 
+def bin_size(n: int) -> int:
+    """Vectors a bin of ``n`` should hold: few enough to tell them apart, and as many as keep a query from visiting too many bins."""
+    return min(MEMBERS, max(200, round(14 * n**0.5)))
+
+
 @dataclass
 class Tree:
     """Nodes in arrays: centroids, first child and number of children (0 of a bin)."""
@@ -152,6 +159,41 @@ def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.rint(a @ b.T * MILLION).astype(np.int64)
 
 
+def nearest(a: np.ndarray, b: np.ndarray, k: int, floor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and cosines (millionths) of the ``k`` highest of each row of ``a`` with all of ``b``, ``floor`` at least; of equal ones the first columns.
+
+    Single precision finds those that can be among the highest, double precision decides.
+    """
+    a, b = _unit(a), _unit(b)
+    fast = b.astype(np.float32).T.copy()
+    out = []
+    for at in range(0, len(a), 256):
+        part = a[at : at + 256]
+        scores = part.astype(np.float32) @ fast
+        least = np.full(len(part), floor / MILLION - OFF, np.float32)
+        if scores.shape[1] > 4 * CLOSE:
+            some = scores[:, :: max(1, scores.shape[1] // 1024)]
+            if some.shape[1] > k:  # the k-th of some columns is a bound for all
+                least = np.maximum(least, np.partition(some, some.shape[1] - k, axis=1)[:, some.shape[1] - k] - np.float32(OFF))
+        r, c = np.nonzero(scores >= least[:, None])
+        near = scores[r, c]
+        by = np.lexsort((-near, r))
+        r, c, near = r[by], c[by], near[by]
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        # what may tie with the CLOSE-th stays too
+        edge = np.full(len(part), -np.inf, np.float32)
+        last = place == CLOSE - 1
+        edge[r[last]] = near[last] - np.float32(OFF)
+        kept = near >= edge[r]
+        r, c = r[kept], c[kept]
+        exact = np.rint(np.einsum("ij,ij->i", part[r], b[c]) * MILLION).astype(np.int64)
+        by = np.lexsort((c, -exact, r))
+        r, c, exact = r[by], c[by], exact[by]
+        kept = (np.arange(len(r)) - np.searchsorted(r, r) < k) & (exact >= floor)
+        out.append((r[kept] + at, c[kept], exact[kept]))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.sqrt((m**2).sum(1))[:, None]
 
@@ -164,7 +206,7 @@ def _index(entries: DataFrame, k: int, least: int, dimensions: dict[str, int]) -
     for m, n in sizes.items():
         drawn = entries.where(F.col("model") == m).orderBy(F.xxhash64("v", F.lit(1)), "entry").limit(min(SAMPLE, n)).select("entry", "v").toArrow()
         points = _unit(matrix(drawn["v"].combine_chunks(), dimensions[m]))
-        trees[m] = fit_tree(points, max(1, BIN * len(points) // n))
+        trees[m] = fit_tree(points, max(1, bin_size(n) * len(points) // n))
         asked[m] = drawn.slice(0, QUERIES)
     queries = {m: (matrix(t["v"].combine_chunks(), dimensions[m]), t["entry"].to_numpy()) for m, t in asked.items()}
 
@@ -183,11 +225,7 @@ def _index(entries: DataFrame, k: int, least: int, dimensions: dict[str, int]) -
             models = batch.column(0).to_numpy(zero_copy_only=False)
             for m in set(models.tolist()):
                 part = batch.take(pa.array(np.flatnonzero(models == m)))
-                scores = _cosines(queries[m][0], matrix(part.column(2), dimensions[m]))
-                q, at = _top(scores, k + 1)
-                s = scores[q, at]
-                kept = s >= least
-                q, at, s = q[kept], at[kept], s[kept]
+                q, at, s = nearest(queries[m][0], matrix(part.column(2), dimensions[m]), k + 1, least)
                 yield pa.RecordBatch.from_arrays([pa.array([m] * len(q)), pa.array(q), part.column(1).take(pa.array(at)), part.column(3).take(pa.array(at)), pa.array(s)], names=["model", "query", "entry", "bin", "score"])
 
     best = Window.partitionBy("model", "query").orderBy(F.desc("score"), "entry")
@@ -264,15 +302,8 @@ def neighbours(df: DataFrame, key: str, model: str, vector: str, k: int = 5, lea
         right = right.sort_by("entry")
         a, b = matrix(left["v"].combine_chunks(), dimensions[m]), matrix(right["v"].combine_chunks(), dimensions[m])
         own, other = left["entry"].to_numpy(), right["entry"].to_numpy()
-        found = []
-        for at in range(0, len(a), 512):
-            scores = _cosines(a[at : at + 512], b)
-            q, c = _top(scores, k + 1)
-            s = scores[q, c]
-            kept = s >= floor
-            found.append((own[at + q[kept]], other[c[kept]], s[kept]))
-        columns = [np.concatenate(x) for x in zip(*found)]
-        return pa.Table.from_arrays([pa.array([m] * len(columns[0]), pa.string()), *map(pa.array, columns)], schema=schema)
+        q, c, score = nearest(a, b, k + 1, floor)
+        return pa.Table.from_arrays([pa.array([m] * len(q), pa.string()), pa.array(own[q]), pa.array(other[c]), pa.array(score)], schema=schema)
 
     met = going.select("model", "bin", "x", "y", "entry", "v").groupBy("model", "bin", "x", "y").cogroup(inside.select("model", "bin", "x", "y", "entry", "v").groupBy("model", "bin", "x", "y")).applyInArrow(meet, "model string, entry long, other long, score long")
     best = Window.partitionBy("model", "entry").orderBy(F.desc("score"), "other")

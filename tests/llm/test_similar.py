@@ -159,7 +159,7 @@ def brute_neighbours(rows, k, least, dims):
 
 
 def test_neighbours(spark, monkeypatch):
-    monkeypatch.setattr(knn, "BIN", 40)
+    monkeypatch.setattr(knn, "bin_size", lambda n: 40)
     rng = np.random.default_rng(3)
     centers = rng.normal(size=(12, 6))
     rows = [(i, "m6", (centers[rng.integers(12)] + rng.normal(size=6) * 0.3).tolist()) for i in range(500)]
@@ -185,6 +185,20 @@ def test_neighbours(spark, monkeypatch):
     assert knn.neighbours(df.limit(0), "key", "model", "vec", dimensions=dims).count() == 0
 
 
+def test_nearest_equals_double_precision():
+    rng = np.random.default_rng(5)
+    b = rng.normal(size=(3000, 8))
+    b[1000:1040] = b[5] + rng.normal(size=(40, 8)) * 1e-7  # a crowd of ties
+    b[2000] = b[7] * 3
+    a = np.concatenate([b[:300], rng.normal(size=(50, 8))])
+    q, c, s = knn.nearest(a, b, 6, 700_000)
+    scores = knn._cosines(a, b)
+    for i in range(len(a)):
+        best = sorted((-x, j) for j, x in enumerate(scores[i].tolist()) if x >= 700_000)[:6]
+        assert [(-x, j) for x, j in zip(s[q == i].tolist(), c[q == i].tolist())] == best
+    assert all(len(x) == 0 for x in knn.nearest(a[:0], b, 6, 0))
+
+
 def test_tree_visits_every_bin_once():
     rng = np.random.default_rng(1)
     points = rng.normal(size=(800, 5))
