@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def local_session(app: str = "foliodex", cores: str | int = "*", **conf: str) -> SparkSession:
@@ -42,6 +41,9 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_staged: list[str] = []
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -49,10 +51,15 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     and random or sampled steps before it are evaluated once.
     """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    _staged.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def rows_bound(df: DataFrame, limit: int) -> bool:
-    """True if ``df`` has at most ``limit`` rows; reads no more than ``limit + 1`` of them."""
-    return df.limit(limit + 1).agg(F.count(F.lit(1)).alias("n")).first()["n"] <= limit
+def drop_staged(spark: SparkSession) -> int:
+    """Delete what ``stage`` has written in this process, and say how many tables; frames that read them no longer work."""
+    gone = 0
+    while _staged:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        gone += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return gone

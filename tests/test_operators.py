@@ -206,6 +206,13 @@ def test_settings():
     assert (s.search_limit, s.retry_failed, s.semantic_threshold) == (7, True, 2.0)
 
 
+def test_staged_tables(spark):
+    from foliodex.session import drop_staged, stage
+
+    kept = stage(spark.range(5), "five")
+    assert kept.count() == 5 and drop_staged(spark) >= 1 and drop_staged(spark) == 0
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], EVENTS)
     assert events.folded(none).count() == 0
