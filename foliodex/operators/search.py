@@ -120,6 +120,12 @@ def similar_to(vectors: DataFrame, file_id: int, query: list[float], limit: int
     return near.withColumn("score", F.round(F.greatest(F.lit(0.0), 1 - F.col("distance")), 6)).orderBy("distance", "id").limit(limit)
 
 
+def single_score(distance: Column, keyword: Column) -> Column:
+    """One score of a result: seven tenths closeness and three tenths keyword score where it has both, else the one it has."""
+    close = F.when(distance.isNotNull(), F.greatest(F.lit(0.0), 1 - distance))
+    return F.when(distance.isNotNull() & keyword.isNotNull(), 0.7 * close + 0.3 * keyword).otherwise(F.coalesce(close, keyword, F.lit(0.0)))
+
+
 def suggestions(files: DataFrame, keywords: DataFrame, prefix: str, limit: int | None = 5) -> DataFrame:
     """Keywords, and title words over two characters, that begin with ``prefix`` whatever the case; in order."""
     low = prefix.lower()

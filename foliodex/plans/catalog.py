@@ -196,6 +196,13 @@ def extractive_summaries(spark, sf_dir):
     return rows.select("file_id", models.extracted_title(F.col("content")).alias("title"), F.char_length(models.extracted_summary(F.col("content"))).alias("summary_chars"))
 
 
+@query
+def summarised_contents(spark, sf_dir):
+    """All current contents through the summariser slot: in chunks of 1,024 tokens, merged."""
+    found = models.summarised(current_contents(spark, sf_dir), "file_id", "content", [models.extractive_summariser], 1_024, most=None)
+    return found.select("file_id", "title", F.char_length("summary").alias("summary_chars"), F.array_join("keywords", " ").alias("keywords"), "n_chunks", "error")
+
+
 # vectors
 
 

@@ -150,6 +150,14 @@ def by_media(files: DataFrame) -> DataFrame:
     return files.withColumn("media", media_type(F.col("extension")))
 
 
+def images(spark: SparkSession, root: str) -> DataFrame:
+    """file_path, width, height, channels of the images below ``root`` or of that one; null sizes of what cannot be read."""
+    rows = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "false").load(root).select("image.*")
+    known = F.col("width") > 0
+    path = F.regexp_replace("origin", "^file:(//)?", "")
+    return rows.select(path.alias("file_path"), *(F.when(known, F.col(c)).alias(n) for c, n in (("width", "width"), ("height", "height"), ("nChannels", "channels"))))
+
+
 def attached(content: Column) -> Column:
     """Bytes as base64 text, as models take images."""
     return F.base64(content)

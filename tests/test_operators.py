@@ -138,6 +138,36 @@ def test_models(spark):
     assert [r["x"] for r in df.select(models.extracted_summary(F.lit(" First one. Second.")).alias("x")).limit(1).collect()] == ["First one."]
 
 
+def test_summaries(spark):
+    def broken():
+        raise RuntimeError("not here")
+
+    long = ". ".join(["Many words stand in this sentence about gardens"] * 30)
+    df = spark.createDataFrame([(1, "First one. Second one about trees."), (2, None), (3, long), (4, "x" * 4000)], "id long, t string")
+    rows = {r["id"]: r for r in models.summarised(df, "id", "t", [broken, models.extractive_summariser], 100, most=None).collect()}
+    assert rows[1]["summary"] == "First one." and rows[1]["title"] == "First one. Second one about" and rows[1]["error"] is None
+    assert rows[2]["error"] == "empty" and rows[2]["summary"] is None and rows[4]["error"] == "no chunk"
+    assert rows[3]["n_chunks"] > 2 and rows[3]["keywords"][0] == "about"
+    odd = models.summarised(df.where("id = 1"), "id", "t", [lambda: lambda texts: ["no JSON"] * len(texts)]).first()
+    assert odd["error"] == "Invalid JSON response" and odd["summary"] is None
+
+
+def test_single_score(spark):
+    rows = [(0.5, 2.0), (0.5, None), (None, 2.0), (None, None), (3.0, None)]
+    df = spark.createDataFrame(rows, "d double, k double").select(F.round(search.single_score(F.col("d"), F.col("k")), 6).alias("x"))
+    assert [r["x"] for r in df.collect()] == [0.95, 0.5, 2.0, 0.0, 0.0]
+
+
+def test_images(spark, tmp_path):
+    import base64
+
+    dot = "iVBORw0KGgoAAAANSUhEUgAAAAEAAAABCAYAAAAfFcSJAAAADUlEQVR42mNk+M9QDwADhgGAWjR9awAAAABJRU5ErkJggg=="
+    (tmp_path / "a.png").write_bytes(base64.b64decode(dot))
+    (tmp_path / "b.png").write_bytes(b"no image")
+    got = {r["file_path"].rsplit("/", 1)[1]: (r["width"], r["height"]) for r in scan.images(spark, str(tmp_path)).collect()}
+    assert got == {"a.png": (1, 1), "b.png": (None, None)}
+
+
 def event(seq, kind, src, dest=None, is_dir=False):
     return (seq, day(1), kind, is_dir, src, dest)
 
