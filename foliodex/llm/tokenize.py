@@ -125,6 +125,7 @@ class Encoder:
 
         self.vocabulary = Vocabulary(path)
         self.split = regex.compile(PATTERN).findall
+        self.seam = regex.compile(r"(?<=\S)(?=\s)").search
         self.pairs: dict[int, bool] = {}
         self.failed = self.seen = 0
         self._forget()
@@ -158,19 +159,28 @@ class Encoder:
         self.flat.append(flat.astype(np.int32))
         self.lengths.append(lengths)
 
+    def _words(self, text: str) -> Iterator[list[str]]:
+        """The words of a text; those of a long one in parts, cut before white space, where a word always ends."""
+        start = 0
+        while len(text) - start > SLICE and (cut := self.seam(text, start + SLICE)):
+            yield self.split(text[start : cut.start()])
+            start = cut.start()
+        yield self.split(text[start:] if start else text)
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and each text's number of ids; none for a null or empty text."""
         if len(self.index) > REMEMBERED:
             self._forget()
         index, found, counts, new = self.index, [], [], []
         for text in texts:
-            words = self.split(text) if text else ()
-            counts.append(len(words))
-            for w in words:
-                if w not in index:
-                    index[w] = len(index)
-                    new.append(w)
-            found.extend(map(index.__getitem__, words))
+            before = len(found)
+            for words in self._words(text) if text else ():
+                for w in words:
+                    if w not in index:
+                        index[w] = len(index)
+                        new.append(w)
+                found.extend(map(index.__getitem__, words))
+            counts.append(len(found) - before)
         if new:
             self._learn(new)
             self.flat, self.lengths = [np.concatenate(self.flat)], [np.concatenate(self.lengths)]

@@ -42,6 +42,14 @@ def test_same_as_library_on_any_text(text):
     assert enc.encode([text])[0].tolist() == ref(text)
 
 
+def test_long_texts_in_parts(encoder, reference, monkeypatch):
+    monkeypatch.setattr(tokenize, "SLICE", 40)
+    rng = random.Random(9)
+    for _ in range(30):
+        text = "".join(rng.choice(["word", " ", "  ", "\n", "\r\n ", "it's", "9", "…", "x" * 60, "\u3000"]) for _ in range(200))
+        assert encoder.encode(["a", text, ""])[0].tolist() == reference("a") + reference(text)
+
+
 _kept = []
 
 
