@@ -264,10 +264,9 @@ def neighbours(df: DataFrame, key: str, model: str, vector: str, k: int = 5, lea
     rows = stage(usable(df, key, model, vector, dimensions), "knn-vectors")
     floor = round(least * MILLION)
     # equal vectors are one entry, known by its smallest key, and stand for their k + 1 smallest keys
-    digest = F.xxhash64("model", "v")
-    salted = rows.select("model", "key", "v", digest.alias("digest"), F.pmod(F.xxhash64("key"), F.lit(64)).alias("salt"))
-    of_vector = salted.groupBy("model", "digest").agg(F.min("key").alias("entry"))
-    members = salted.select("model", "key", "digest", "salt").join(of_vector, ["model", "digest"]).drop("digest")
+    salted = rows.select("model", "key", "v", F.xxhash64("v").alias("digest"), F.hash("v").alias("check"), F.pmod(F.xxhash64("key"), F.lit(64)).alias("salt"))
+    of_vector = salted.groupBy("model", "digest", "check").agg(F.min("key").alias("entry"))
+    members = salted.select("model", "key", "digest", "check", "salt").join(of_vector, ["model", "digest", "check"]).drop("digest", "check")
     members = stage(members, "knn-members")
     entries = rows.join(of_vector.select("model", F.col("entry").alias("key")), ["model", "key"], "left_semi").select("model", F.col("key").alias("entry"), "v")
     trees, visits, placed = _index(entries, k, floor, dimensions)
