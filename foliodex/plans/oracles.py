@@ -79,15 +79,15 @@ SELECT id, name, suffix, CASE WHEN lower(suffix) IN {_in(AUDIO)} THEN 'audio' WH
     "dir_scope": f"WITH {FILES} SELECT id, file_path, file_size FROM f WHERE {_under('file_path')}",
     "files_with_keywords": f"WITH {FILES}, {KEYWORDS} SELECT id, file_path, title, status, string_agg(keyword, ', ' ORDER BY keyword) AS keywords FROM f LEFT JOIN k ON k.file_id = f.id GROUP BY id, file_path, title, status",
     "files_searchable": f"WITH {FILES}, {KEYWORDS} SELECT id, file_path, title, summary, string_agg(keyword, ' ' ORDER BY keyword) AS keywords FROM f LEFT JOIN k ON k.file_id = f.id GROUP BY id, file_path, title, summary",
-    "processing_summary": f"WITH {FILES} SELECT status, count(*) AS files, round(avg(file_size), 4) AS mean_size, sum(file_size) AS total_size FROM f WHERE status IS NOT NULL GROUP BY status",
+    "processing_summary": f"WITH {FILES} SELECT status, count(*) AS files, round(avg(file_size), 4) AS mean_size, sum(file_size)::BIGINT AS total_size FROM f WHERE status IS NOT NULL GROUP BY status",
     "recent_activity": f"WITH {FILES} SELECT id, filename, status, {TIME.format('created_at')} AS created, {TIME.format('updated_at')} AS updated FROM f ORDER BY created_at DESC, id LIMIT 100",
-    "file_stats": f"WITH {FILES} SELECT count(*) AS total_files, sum(file_size) AS total_size, {TIME.format('max(updated_at)')} AS last_indexed FROM f",
-    "extension_counts": f"WITH {FILES} SELECT lower(extension) AS suffix, count(*) AS files, sum(file_size) AS total_size FROM f GROUP BY 1",
+    "file_stats": f"WITH {FILES} SELECT count(*) AS total_files, sum(file_size)::BIGINT AS total_size, {TIME.format('max(updated_at)')} AS last_indexed FROM f",
+    "extension_counts": f"WITH {FILES} SELECT lower(extension) AS suffix, count(*) AS files, sum(file_size)::BIGINT AS total_size FROM f GROUP BY 1",
     "extraction_counters": f"WITH {CONTENTS} SELECT extraction_method, count(*) AS extractions, count(*) FILTER (WHERE length(trim(content, {SPACE})) > 10) AS successes FROM c GROUP BY 1",
     "token_statistics": f"""WITH {CONTENTS}, t AS (SELECT extraction_method, length(coalesce(content, '')) // 4 AS n FROM c)
-SELECT extraction_method, sum(n) AS tokens, sum(n) // count(*) AS mean_tokens, max(n) AS most_tokens FROM t GROUP BY 1""",
-    "session_stats": """SELECT status, count(*) AS sessions, sum(total_files) AS total_files, sum(processed_files) AS processed_files, sum(failed_files) AS failed_files,
-  sum(skipped_files) AS skipped_files, round(avg(processing_time_seconds), 6) AS mean_seconds FROM (SELECT DISTINCT * FROM processing_stats) GROUP BY status""",
+SELECT extraction_method, sum(n)::BIGINT AS tokens, (sum(n) // count(*))::BIGINT AS mean_tokens, max(n) AS most_tokens FROM t GROUP BY 1""",
+    "session_stats": """SELECT status, count(*) AS sessions, sum(total_files)::BIGINT AS total_files, sum(processed_files)::BIGINT AS processed_files, sum(failed_files)::BIGINT AS failed_files,
+  sum(skipped_files)::BIGINT AS skipped_files, round(avg(processing_time_seconds), 6) AS mean_seconds FROM (SELECT DISTINCT * FROM processing_stats) GROUP BY status""",
     "image_infos": f"""WITH {CONTENTS}, p AS (SELECT file_id, regexp_extract(content, '^Image file: (\\S+) \\((\\d+)x(\\d+), mode (\\w+)\\), Size: (\\d+) bytes, Type: (\\w+)', ['name', 'w', 'h', 'm', 's', 'k']) AS x
 FROM c WHERE starts_with(content, 'Image file: '))
 SELECT file_id, x.name AS name, try_cast(x.w AS BIGINT) AS width, try_cast(x.h AS BIGINT) AS height, try_cast(x.s AS BIGINT) AS bytes,
@@ -117,7 +117,7 @@ SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS keywords FROM r WHERE i <= 12
     "pad_truncate": """WITH u AS (SELECT file_id, embedding_model, embedding[1:80]::DOUBLE[] AS e FROM (SELECT DISTINCT * FROM file_embeddings)
   WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 n AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM u)
-SELECT file_id, embedding_model, CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END AS length, round(CASE WHEN n > 0 THEN e[1] / n ELSE e[1] END, 4) AS first_value FROM n""",
+SELECT file_id, embedding_model, (CASE WHEN n > 0 THEN 1 ELSE 0 END)::DOUBLE AS length, round(CASE WHEN n > 0 THEN e[1] / n ELSE e[1] END, 4) AS first_value FROM n""",
     "knn_l2": f"WITH {FILES}, {VECTORS} SELECT * FROM d ORDER BY distance, id LIMIT 40",
     "knn_threshold": f"WITH {FILES}, {VECTORS} SELECT * FROM (SELECT * FROM d ORDER BY distance, id LIMIT 200) WHERE distance <= 1.0",
     "knn_dir_postfilter": f"WITH {FILES}, {VECTORS} SELECT * FROM (SELECT * FROM d ORDER BY distance, id LIMIT 200) WHERE {_under('file_path')}",
@@ -165,7 +165,7 @@ SELECT strftime(u, '%Y-%m-%d') AS day, count(*) AS files FROM t GROUP BY 1""",
 SELECT file_id, count(*) AS keywords FROM k WHERE file_id IN (SELECT id FROM live) GROUP BY file_id""",
     "watch_jobs": f"WITH {WATCHED} SELECT id, path, recursive, file_pattern, {TIME.format('created_at')} AS created FROM w WHERE is_active",
     "watch_sizes": f"""WITH {FILES}, {WATCHED}
-SELECT w.id, w.path, count(f.id) AS files, coalesce(sum(f.file_size), 0) AS bytes FROM w LEFT JOIN f ON (f.file_path = w.path OR starts_with(f.file_path, w.path || '/'))
+SELECT w.id, w.path, count(f.id) AS files, coalesce(sum(f.file_size), 0)::BIGINT AS bytes FROM w LEFT JOIN f ON (f.file_path = w.path OR starts_with(f.file_path, w.path || '/'))
   AND (w.recursive OR regexp_extract(f.file_path, '^(.*)/[^/]*$', 1) = w.path) WHERE w.is_active GROUP BY ALL""",
     "watch_overlaps": f"""WITH {FILES}, {WATCHED}, a AS (SELECT DISTINCT regexp_extract(file_path, '^(.*)/[^/]*$', 1) AS path FROM f)
 SELECT a.path, w.id AS watch_id, CASE WHEN a.path = w.path THEN 'exact' ELSE 'inside' END AS reason FROM a JOIN w ON a.path = w.path OR (w.recursive AND starts_with(a.path, w.path || '/')) WHERE w.is_active""",

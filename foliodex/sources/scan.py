@@ -111,7 +111,7 @@ def plain_extractor(name: str, data: bytes) -> str | None:
     return None
 
 
-def extracted(files: DataFrame, extractors: Sequence[tuple[str, Extract]] = (("markitdown", plain_extractor),), least: int = 10) -> DataFrame:
+def extracted(files: DataFrame, extractors: Sequence[tuple[str, Extract]] = (("plain", plain_extractor),), least: int = 10) -> DataFrame:
     """``files`` (with filename, file_size and content) with ``text``, ``extraction_method`` and ``error`` instead of the bytes.
 
     The extractors are tried in order until one gives more than ``least`` characters; a file over ``LARGEST`` bytes, one that
