@@ -50,6 +50,20 @@ def test_knn_batch_against_brute_force(spark):
         assert [got[q, p] for p in range(1, 6)] == [i for _, i in want]
 
 
+def test_knn_batch_ties_of_many_equal_vectors(spark):
+    rng = np.random.default_rng(2)
+    m = rng.normal(size=(3_000, 8)) + 3
+    m[rng.permutation(np.arange(1, 3_000))[:150]] = m[0] + 0.01  # 150 equal vectors, the nearest of the first
+    near = rng.permutation(np.arange(1, 3_000))[:5]
+    m[near] = m[0] + 0.01 + 1e-9  # of equal distance after rounding
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(m)], "id long, embedding array<double>")
+    asked = F.col("id").isin(0, *near.tolist())
+    got = {(r["query_id"], r["place"]): (r["distance"], r["id"]) for r in knn_batch(df, asked, 10).collect()}
+    for q in (0, *near.tolist()):
+        want = sorted((round(float(np.sqrt(((m[i] - m[q]) ** 2).sum())), 6), i) for i in range(3_000) if i != q)[:10]
+        assert [got[q, p] for p in range(1, 11)] == want
+
+
 def test_merged_sides(spark):
     near = spark.createDataFrame([(1, "/1", 0.0), (2, "/2", 1.0)], "id long, file_path string, distance double")
     words = spark.createDataFrame([(2, "/2", 3.0), (3, "/3", 0.4)], "id long, file_path string, score double")
