@@ -65,17 +65,18 @@ class FileIndex:
     def process_directory(self, directory: str, pattern: str | None = None) -> DataFrame:
         """Index what is new or changed below a directory, and drop stored files that are gone from it; (file_path, decision) of all found.
 
-        Unreadable and too short files are kept as failed with the reason.
+        With ``pattern``, only files of such names are indexed; stored files of other names stay as long as they are on disk. Unreadable and too short files are kept as failed with the reason.
         """
         stored = self.table("files")
         found = scan.scan(self.spark, directory, pattern)
+        there = scan.scan(self.spark, directory) if pattern else found
         rows = self._scanned(found).withColumn("content_hash", F.lit(None).cast("string"))
         saved = stored.select(F.xxhash64("file_path").alias("id"), "status", "modified", F.lit("").alias("content_hash"))
         decided = state.decisions(rows, saved, self.settings.retry_failed)
         decided = self._kept(decided)
         todo = rows.join(decided.where("decision = 'process'").select("id"), "id", "left_semi").drop("content_hash")
         bytes_ = scan.scan(self.spark, directory, pattern, content=True).select("file_path", "content")
-        self._process(todo.join(bytes_, "file_path"), stored, state.unseen(stored, rows, directory))
+        self._process(todo.join(bytes_, "file_path"), stored, state.unseen(stored, there, directory))
         return decided.select("file_path", "decision")
 
     def process_file(self, path: str) -> DataFrame:

@@ -56,6 +56,26 @@ def test_index_of_a_directory(spark, tmp_path):
     assert index.stats().first()["total_files"] == 1 and index.active_streams() == 0
 
 
+def test_patterns_one_after_another(spark, tmp_path):
+    docs = tmp_path / "docs"
+    (docs / "below").mkdir(parents=True)
+    for name in ("a.md", "b.txt", "below/c.txt", "d.csv"):
+        (docs / name).write_text(f"Some text about gardens in {name}. More of it follows.")
+    index = FileIndex(spark, str(tmp_path / "index"))
+    names = lambda: sorted(r["filename"] for r in index.table("files").collect())
+    assert {os.path.basename(r["file_path"]) for r in index.process_directory(str(docs), "*.txt").collect()} == {"b.txt", "c.txt"}
+    assert index.process_directory(str(docs), "*.md").count() == 1
+    assert names() == ["a.md", "b.txt", "c.txt"]
+    assert index.table("file_embeddings").count() == 3 and index.search("gardens", mode="keyword").count() == 3
+    assert index.table("file_keywords").select("file_id").distinct().count() == 3
+    os.remove(docs / "below" / "c.txt")
+    index.process_directory(str(docs), "*.md")
+    assert names() == ["a.md", "b.txt"] and index.table("file_embeddings").count() == 2
+    os.remove(docs / "a.md")
+    index.process_directory(str(docs), "*.md")  # nothing of this name is left
+    assert names() == ["b.txt"]
+
+
 def test_watching(spark, tmp_path):
     index = FileIndex(spark, str(tmp_path / "index"))
     assert index.start_watching("/a/") and not index.start_watching("/a") and not index.start_watching("/a/b") and index.start_watching("/ab", recursive=False)
