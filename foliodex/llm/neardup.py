@@ -24,7 +24,7 @@ from foliodex.session import stage
 #: similarity s agree in no segment with probability (1 - s**WORDS)**SEGMENTS, 4e-5 at 0.7 and 2e-8 at 0.8.
 SEGMENTS, WORDS, REFERENCES = 24, 3, 12
 #: A shingle is hot if its bucket of so many stands in this share of the texts. Texts with more than ``TEMPLATE`` of their
-#: shingles hot are near-alike without being similar, and get keys of their rare shingles besides.
+#: distinct shingles hot are near-alike without being similar, and get keys of their rare shingles besides.
 BUCKETS, HOT, TEMPLATE = 1 << 20, 0.01, 0.15
 _random = np.random.default_rng(20)
 _SCALE = _random.integers(0, 2**32, (2, SEGMENTS * WORDS), np.uint32) | np.uint32(1)
@@ -118,7 +118,8 @@ def table_rows(runs: np.ndarray, counts: np.ndarray, held: np.ndarray, hottest:
             rare[some] = minima(runs[cold], n_cold[some])
         from_hot = (rare > words).reshape(len(counts), SEGMENTS, WORDS).all(2)
         kept[with_hot] = ~from_hot[with_hot]
-        for i in with_hot[n_cold[with_hot] < (1 - TEMPLATE) * counts[with_hot]].tolist():
+        # occurrences tell nothing of the share: a short passage of its own may repeat
+        for i in with_hot.tolist():
             own = np.unique(runs[starts[i] : starts[i] + counts[i]])
             heat = held[(own & U(BUCKETS - 1)).astype(np.int64)]
             if (heat >= hottest).mean() > TEMPLATE:

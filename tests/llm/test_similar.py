@@ -72,6 +72,20 @@ def test_segments_of_a_template_are_left_out():
     assert most(plain) > 15 and most(keys) < 5 and sizes.min() > 31
 
 
+def test_template_with_an_own_passage_that_repeats():
+    rng = np.random.default_rng(5)
+    template = rng.integers(0, 2**63, 90, np.uint64)
+    held = np.zeros(neardup.BUCKETS, np.int64)
+    held[(template & np.uint64(neardup.BUCKETS - 1)).astype(np.int64)] = 200
+    texts = []
+    for _ in range(200):  # pairs of similarity 0.7: 60 shingles of the template and 10 own ones, 60 times each, of 100
+        own = np.tile(rng.integers(0, 2**63, 10, np.uint64), 60)
+        texts += [np.concatenate([template[:75], own]), np.concatenate([template[15:], own])]
+    keys, sizes = neardup.table_rows(np.concatenate(texts), np.full(400, 675), held, 50, 0.7)
+    of = np.split(keys, np.cumsum(sizes)[:-1])
+    assert all(len(np.intersect1d(a, b)) for a, b in zip(of[::2], of[1::2]))
+
+
 def test_only_the_newest_version_counts(spark, words):
     rows = [(1, 1, words(50, 1)), (1, 2, words(50, 2)), (2, 1, words(50, 1)), (3, 5, words(50, 2)), (4, 1, words(50, 1)), (4, 2, None)]
     df = spark.createDataFrame(rows, "k long, v int, t string")
