@@ -16,11 +16,24 @@ def tokens_of(text: str) -> int:
     return len(text) // 4
 
 
-def chunk_text(text: str, limit: int, overlap: int = 50) -> list[str]:
+def at_words(text: str, most: int) -> list[str]:
+    """``text`` in parts of at most ``most`` characters, each ending after white space if it has any; blank parts are left out."""
+    out, at = [], 0
+    while at < len(text):
+        end = at + most
+        if end < len(text):
+            end = next((i for i in range(end, at, -1) if text[i - 1].isspace()), end)
+        out.append(text[at:end])
+        at = end
+    return [part for part in out if part.strip()]
+
+
+def chunk_text(text: str, limit: int, overlap: int = 50, whole: bool = False) -> list[str]:
     """Chunks of whole sentences (parted at ". ") within nine tenths of ``limit`` tokens.
 
     A sentence over that is left out; each chunk repeats the last sentences of the one before, one for each 50
-    tokens of overlap and one at least. A chunk that is over the limit all the same is shortened.
+    tokens of overlap and one at least. A chunk that is over the limit all the same is shortened. With ``whole``, nothing
+    is lost: such sentences and chunks are cut at words into further chunks, and these repeat nothing.
     """
     if tokens_of(text) <= limit:
         return [text]
@@ -31,6 +44,9 @@ def chunk_text(text: str, limit: int, overlap: int = 50) -> list[str]:
     for sentence in text.split(". "):
         n = tokens_of(sentence)
         if n > room:
+            if whole and (parts := at_words(sentence, 4 * room + 3)):
+                out += [". ".join(held) + "."] * bool(held) + parts[:-1]
+                held, size = parts[-1:], tokens_of(parts[-1])
             continue
         if held and size + n > room:
             out.append(". ".join(held) + ".")
@@ -42,6 +58,8 @@ def chunk_text(text: str, limit: int, overlap: int = 50) -> list[str]:
             size += n
     if held:
         out.append(". ".join(held) + ".")
+    if whole:
+        return [part for c in out for part in ([c] if tokens_of(c) <= limit else at_words(c, 4 * limit + 3))]
     return [c if tokens_of(c) <= limit else shortened(c, limit) for c in out]
 
 
@@ -65,19 +83,20 @@ def shortened(chunk: str, limit: int) -> str:
     return chunk[: end + 1] if end >= 0 else chunk[:most]
 
 
-def chunked(df: DataFrame, key: str, text: str, limit: int, overlap: int = 50, most: int | None = MOST_CHUNKS) -> DataFrame:
+def chunked(df: DataFrame, key: str, text: str, limit: int, overlap: int = 50, most: int | None = MOST_CHUNKS, whole: bool = False) -> DataFrame:
     """(key, chunk_no, n_chunks, tokens, chunk, error) of each text; numbers count from 0.
 
     A text that is too long, has too many chunks (``most``, None for any number) or none, as has a null or empty one, gives one
-    row with an error and no chunk. Repeated rows are chunked again; other columns are not read.
+    row with an error and no chunk. With ``whole``, no text is too long and chunks hold all of it. Repeated rows are chunked again; other columns are not read.
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []
             for k, t in zip(rows["k"], rows["t"]):
-                found = chunk_text(t, limit, overlap) if t and tokens_of(t) < TOO_LONG else []
-                error = "empty" if not t else "too long" if tokens_of(t) >= TOO_LONG else "no chunk" if not found else "too many chunks" if most and len(found) > most else None
+                too_long = bool(t) and not whole and tokens_of(t) >= TOO_LONG
+                found = chunk_text(t, limit, overlap, whole) if t and not too_long else []
+                error = "empty" if not t else "too long" if too_long else "no chunk" if not found else "too many chunks" if most and len(found) > most else None
                 if error:
                     out.append((k, None, len(found), None, None, error))
                 else:

@@ -179,8 +179,8 @@ def directory_summaries(spark, sf_dir):
 
 @query
 def chunk_contents(spark, sf_dir):
-    """Chunks of all current contents for a model of 512 tokens."""
-    return chunks.chunked(current_contents(spark, sf_dir), "file_id", "content", 512, most=None).select("file_id", "chunk_no", "n_chunks", "tokens", "error")
+    """Chunks of all current contents, none of it left out, for a model of 512 tokens."""
+    return chunks.chunked(current_contents(spark, sf_dir), "file_id", "content", 512, most=None, whole=True).select("file_id", "chunk_no", "n_chunks", "tokens", "error")
 
 
 @query
@@ -199,7 +199,7 @@ def extractive_summaries(spark, sf_dir):
 @query
 def summarised_contents(spark, sf_dir):
     """All current contents through the summariser slot: in chunks of 1,024 tokens, merged."""
-    found = models.summarised(current_contents(spark, sf_dir), "file_id", "content", [models.extractive_summariser], 1_024, most=None)
+    found = models.summarised(current_contents(spark, sf_dir), "file_id", "content", [models.extractive_summariser], 1_024, most=None, whole=True)
     return found.select("file_id", "title", F.char_length("summary").alias("summary_chars"), F.array_join("keywords", " ").alias("keywords"), "n_chunks", "error")
 
 

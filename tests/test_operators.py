@@ -134,6 +134,26 @@ def test_chunked_rows(spark):
     assert chunks.chunked(df.limit(0), "id", "t", 60).count() == 0
 
 
+def test_chunks_of_whole_texts(spark):
+    assert "".join(chunks.chunk_text("x" * 1000, 50, whole=True)) == "x" * 1000 + "."
+    words = " ".join(f"word{i:04d}" for i in range(900))
+    assert "".join(chunks.chunk_text(words, 50, whole=True)) == words + "."
+    assert chunks.chunk_text(" " * 1000, 50, whole=True) == []
+    mixed = ". ".join(["one short sentence", words, "a fairly long sentence " * 7, "another of these follows " * 7, "two\n\nparts", "y" * 700, "the end"])
+    found = chunks.chunk_text(mixed, 50, whole=True)
+    assert all(chunks.tokens_of(c) <= 50 for c in found)
+    at, joined = 0, " ".join(found).split()
+    for word in mixed.replace("y" * 700, "").replace(".", " ").split():  # all words, in order
+        at = next(i for i in range(at, len(joined)) if joined[i].rstrip(".") == word) + 1
+    assert "".join(found).count("y") >= 700
+    df = spark.createDataFrame([(1, "x" * 2000), (2, "word " * 170_000), (3, " " * 2000), (4, "a. b")], "id long, t string")
+    rows = chunks.chunked(df, "id", "t", 60, most=None, whole=True).collect()
+    assert {r["id"]: r["error"] for r in rows} == {1: None, 2: None, 3: "no chunk", 4: None}
+    assert sum(len(r["chunk"]) for r in rows if r["id"] == 2) == 850_001
+    whole = models.summarised(df.where("id = 1"), "id", "t", [models.extractive_summariser], 100, most=None, whole=True).first()
+    assert whole["error"] is None and whole["n_chunks"] > 4
+
+
 def test_merged_summaries(spark):
     df = spark.createDataFrame([("a", 1, "one"), ("a", 2, "two"), ("b", 1, "x" * 300), ("b", 2, "y" * 300), ("b", 3, "z"), ("b", 4, "w"), ("c", 1, None), ("d", 1, "only")], "k string, i int, s string")
     got = {r["k"]: r["merged"] for r in chunks.merged_summaries(df, "k", "i", "s").collect()}
