@@ -301,7 +301,7 @@ def repair(text: str, seen: dict[str, int], options: dict[str, list[dict]], scan
     """The kinds of a text's lines as (line number from 1, kind), and the text in paragraphs.
 
     ``seen``: occurrences of joined words outside scans; ``options``: the links of misread words. Unless ``scanned``,
-    the page must show that it is one by furniture, cut words or two misread words; else nothing is changed.
+    the page must show that it is one by a page number, cut words, or two headers or misread words in all; else nothing is changed.
     """
     lines, kinds = furniture(text)
     cut = cut_words(lines, kinds)
@@ -338,7 +338,7 @@ def repair(text: str, seen: dict[str, int], options: dict[str, list[dict]], scan
                 rest = len(w) - part - len(parted[i][3])
                 if right[at][-rest:] != w[-rest:]:
                     misread.add(j)
-    if not (scanned or hyphens or len(right) > 1 or "page_number" in kinds or kinds.count("header") > 1):
+    if not (scanned or hyphens or "page_number" in kinds or len(right) + kinds.count("header") > 1):
         return [], text
     marks = [(i + 1, k) for i, k in enumerate(kinds) if k in ("header", "page_number")]
     marks += [(i + 1, "hyphen") for i in hyphens] + [(i + 1, "ocr") for i in misread]
