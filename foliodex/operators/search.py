@@ -47,20 +47,45 @@ def _weight() -> Column:
     return F.when(idf > 0, idf).otherwise(FLOOR) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
 
 
+def _grams(index: DataFrame, n: int) -> DataFrame:
+    """id, dl, column, at, gram: every token (``n`` 1) or pair of neighbouring tokens (2) of the searched columns."""
+    parts = None
+    for c in SEARCHED:
+        tokens = F.split(F.trim(F.col(f"line_{c}")), " ")
+        grams = tokens if n == 1 else _pairs(tokens)
+        part = index.select("id", "dl", F.lit(c).alias("column"), F.posexplode(grams).alias("at", "gram"))
+        parts = part if parts is None else parts.unionByName(part)
+    return parts
+
+
+def _pairs(tokens: Column) -> Column:
+    zipped = F.arrays_zip(tokens.alias("a"), F.slice(tokens, 2, 1 << 30).alias("b"))
+    return F.transform(F.filter(zipped, lambda x: x["b"].isNotNull()), lambda x: F.concat_ws(" ", x["a"], x["b"]))
+
+
 def bm25_batch(index: DataFrame, phrases: DataFrame, limit: int = 20) -> DataFrame:
-    """query_id, id, score, place of the best rows for each of many two-token phrases (query_id, first, second).
+    """query_id, id, score, place of the best rows for each of many phrases (query_id, phrase) of any length; those without tokens have none.
 
-    Pairs of neighbouring tokens meet in an equi-join, so no query scans all texts; equal phrases are
-    scored once.
+    Tokens and pairs of neighbouring tokens meet in an equi-join, so no query scans all texts; a longer phrase meets by
+    its rarest pair and is compared as a whole where that stands. Equal phrases are scored once.
     """
-    pairs = None
-    for c in SEARCHED:
-        tokens = F.split(F.trim(F.col(f"line_{c}")), " ")
-        zipped = F.arrays_zip(tokens.alias("a"), F.slice(tokens, 2, 1 << 30).alias("b"))
-        part = index.select("id", "dl", F.explode(zipped).alias("x")).where("x.b is not null").select("id", "dl", F.concat_ws(" ", "x.a", "x.b").alias("phrase"))
-        pairs = part if pairs is None else pairs.unionByName(part)
-    asked = phrases.select("query_id", F.concat_ws(" ", "first", "second").alias("phrase"))
-    counts = pairs.join(asked.select("phrase").distinct(), "phrase").groupBy("phrase", "id", "dl").agg(F.count(F.lit(1)).alias("f"))
+    asked = phrases.select("query_id", F.trim(token_line(F.col("phrase"))).alias("phrase")).where("phrase <> ''")
+    words = F.split("phrase", " ")
+    sought = asked.select("phrase").distinct()
+    lengths = {r["n"] for r in sought.select(F.least(F.size(words), F.lit(3)).alias("n")).distinct().collect()}
+    parts = [_grams(index, n).withColumnRenamed("gram", "phrase").join(sought.where(F.size(words) == n), "phrase").select("phrase", "id", "dl") for n in (1, 2) if n in lengths]
+    if 3 in lengths or not parts:
+        seen = _grams(index, 2).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+        own = sought.where(F.size(words) > 2).select("phrase", F.posexplode(_pairs(words)).alias("offset", "gram"))
+        rarest = own.join(seen, "gram", "left").groupBy("phrase").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "offset", "gram")).alias("x")).select("phrase", "x.offset", "x.gram")
+        hits = _grams(index, 2).join(rarest, "gram").where("at >= offset").select("id", "column", "phrase", (F.col("at") - F.col("offset") + 1).alias("start"))
+        lines = index.select("id", "dl", F.explode(F.create_map(*(x for c in SEARCHED for x in (F.lit(c), F.col(f"line_{c}"))))).alias("column", "line"))
+        whole = F.slice(F.split(F.trim("line"), " "), F.col("start"), F.size(words)) == words
+        parts.append(hits.join(lines, ["id", "column"]).where(whole).select("phrase", "id", "dl"))
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    counts = found.groupBy("phrase", "id", "dl").agg(F.count(F.lit(1)).alias("f"))
     of_phrase = counts.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
     corpus = index.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     scored = counts.join(of_phrase, "phrase").crossJoin(F.broadcast(corpus)).select("phrase", "id", F.round(_weight(), 6).alias("score"))

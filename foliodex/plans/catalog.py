@@ -283,7 +283,14 @@ def bm25_dir(spark, sf_dir):
 def bm25_title_batch(spark, sf_dir):
     """For every file whose id is divisible by 100, the twenty best files for the first two tokens of its title."""
     line = F.split(F.trim(text.token_line(F.col("title"))), " ")
-    phrases = current_files(spark, sf_dir, "title").where(F.col("id") % 100 == 0).select(F.col("id").alias("query_id"), F.get(line, F.lit(0)).alias("first"), F.get(line, F.lit(1)).alias("second")).where("second is not null")
+    phrases = current_files(spark, sf_dir, "title").where(F.col("id") % 100 == 0).select(F.col("id").alias("query_id"), F.array_join(F.slice(line, 1, 2), " ").alias("phrase")).where(F.contains("phrase", F.lit(" ")))
+    return search.bm25_batch(_index(spark, sf_dir), phrases)
+
+
+@query
+def bm25_whole_title_batch(spark, sf_dir):
+    """For every file whose id is divisible by 100, the twenty best files for its whole title."""
+    phrases = current_files(spark, sf_dir, "title").where(F.col("id") % 100 == 0).select(F.col("id").alias("query_id"), F.col("title").alias("phrase"))
     return search.bm25_batch(_index(spark, sf_dir), phrases)
 
 

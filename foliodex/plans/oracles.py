@@ -138,6 +138,17 @@ dl AS (SELECT id, len(t1) + len(t2) + len(t3) + len(t4) AS dl FROM lines),
 corpus AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
 b AS (SELECT phrase, id, round(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * n_hits * 2.2 / (n_hits + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) AS score FROM h JOIN df USING (phrase) JOIN dl USING (id), corpus),
 r AS (SELECT *, row_number() OVER (PARTITION BY phrase ORDER BY score DESC, id) AS place FROM b)
+SELECT query_id, id, score, place FROM asked JOIN r USING (phrase) WHERE place <= 20""",
+    "bm25_whole_title_batch": f"""WITH {FILES}, {KEYWORDS}, {LISTED}, {INDEX},
+asked AS (SELECT id AS query_id, array_to_string(t2, ' ') AS phrase, len(t2) AS w FROM lines WHERE id % 100 = 0 AND array_to_string(t2, ' ') <> ''),
+sizes AS (SELECT DISTINCT w FROM asked),
+grams AS (SELECT id, unnest(list_concat({", ".join(f"list_transform(range(1, len(t{i}) - w + 2), lambda i: array_to_string(t{i}[i : i + w - 1], ' '))" for i in range(1, 5))})) AS phrase FROM lines, sizes),
+h AS (SELECT phrase, id, count(*) AS n_hits FROM grams WHERE phrase IN (SELECT phrase FROM asked) GROUP BY ALL),
+df AS (SELECT phrase, count(*) AS df FROM h GROUP BY phrase),
+dl AS (SELECT id, len(t1) + len(t2) + len(t3) + len(t4) AS dl FROM lines),
+corpus AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+b AS (SELECT phrase, id, round(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * n_hits * 2.2 / (n_hits + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) AS score FROM h JOIN df USING (phrase) JOIN dl USING (id), corpus),
+r AS (SELECT *, row_number() OVER (PARTITION BY phrase ORDER BY score DESC, id) AS place FROM b)
 SELECT query_id, id, score, place FROM asked JOIN r USING (phrase) WHERE place <= 20""",
     "hybrid_search": _hybrid(20, 0.5, 0.5),
     "hybrid_weighted": _hybrid(50, 0.7, 0.3),

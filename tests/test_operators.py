@@ -64,6 +64,18 @@ def test_knn_batch_ties_of_many_equal_vectors(spark):
         assert [got[q, p] for p in range(1, 11)] == want
 
 
+def test_bm25_batch_of_any_length(spark):
+    rows = [(i, f"/{'ab'[i % 2]}/{i}", " ".join("xyz"[i * j * j % 3] for j in range(i)), "The Yearly report, the yearly report of all" if i % 4 else None) for i in range(1, 30)]
+    files = spark.createDataFrame(rows, "id long, file_path string, title string, summary string")
+    index = search.text_index(files, spark.createDataFrame([(3, "of"), (3, "all")], "file_id long, keyword string"))
+    phrases = ["x", "report", "yearly report", "The Yearly Report", "x y y x", "x x x", "report of all", "of all the", "report the yearly report of", "none of these", "...", None]
+    asked = spark.createDataFrame(list(enumerate(phrases)), "query_id int, phrase string")
+    got = sorted((r["query_id"], r["place"], r["id"], r["score"]) for r in search.bm25_batch(index, asked, 5).collect())
+    want = [(q, i, r["id"], r["score"]) for q, p in enumerate(phrases) if p for i, r in enumerate(search.bm25(index, p, 5).collect(), 1)]
+    assert got == sorted(want) and {q for q, *_ in got} >= {0, 1, 2, 3, 4, 5, 6, 8}
+    assert search.bm25_batch(index, asked.limit(0)).count() == 0
+
+
 def test_merged_sides(spark):
     near = spark.createDataFrame([(1, "/1", 0.0), (2, "/2", 1.0)], "id long, file_path string, distance double")
     words = spark.createDataFrame([(2, "/2", 3.0), (3, "/3", 0.4)], "id long, file_path string, score double")
