@@ -115,9 +115,13 @@ def embedding_text(title: Column, summary: Column, keywords: Column) -> Column:
 
 
 def unfenced(response: Column) -> Column:
-    """What stands in a model's code fence, or the response itself."""
-    inside = F.regexp_extract(response, r"(?s)```(?:json)?\s*\n?(.*?)\n?```", 1)
-    return F.when(inside != "", inside).otherwise(response)
+    """What stands between the first two code fences of a model's response, without a language name; the response itself if it has no two."""
+    parts = F.split(response, "`{3}")
+    inside = F.regexp_replace(F.get(parts, F.lit(1)), "^[a-z]+(?=[^a-z])", "")
+    return F.when((F.size(parts) > 2) & (strip(inside) != ""), inside).otherwise(response)
+
+
+NOT_READ, NO_SUMMARY = "cannot be read as JSON", "no summary"
 
 
 def parsed_response(response: Column) -> Column:
@@ -131,13 +135,17 @@ def parsed_response(response: Column) -> Column:
     listed = F.from_json(parts["keywords"], "ARRAY<STRING>")
     keywords = F.filter(F.transform(F.coalesce(listed, F.array().cast("array<string>")), strip), lambda k: k != "")
     summary = F.coalesce(strip(parts["summary"]), F.lit(""))
-    error = F.when(parts.isNull() | F.coalesce(F.json_object_keys(text).isNull(), F.lit(True)), "Invalid JSON response").when(summary == "", "Response did not contain a valid summary")
+    error = F.when(parts.isNull() | F.coalesce(F.json_object_keys(text).isNull(), F.lit(True)), NOT_READ).when(summary == "", NO_SUMMARY)
     return F.struct(F.coalesce(strip(parts["title"]), F.lit("")).alias("title"), summary.alias("summary"), keywords.alias("keywords"), error.alias("error"))
 
 
+#: The words an image is described in.
+IMAGE_WORDS = ("Image file: ", " (%dx%d, %s mode)", ", Size: %d bytes, Type: %s")
+
+
 def image_description(name: Column, width: Column, height: Column, mode: Column, size: Column, kind: Column) -> Column:
     """An image in words; without a size in pixels, only by name."""
-    pixels = F.coalesce(F.format_string(" (%dx%d, %s mode)", width, height, F.coalesce(mode, F.lit("unknown"))), F.lit(""))
-    return F.when(width.isNull() & size.isNull(), F.concat(F.lit("Image file: "), name)).otherwise(
-        F.concat(F.lit("Image file: "), name, F.when(width.isNull(), "").otherwise(pixels), F.format_string(", Size: %d bytes, Type: %s", size, kind))
-    )
+    label, of_pixels, of_bytes = IMAGE_WORDS
+    named = F.concat(F.lit(label), name)
+    pixels = F.when(width.isNull(), "").otherwise(F.coalesce(F.format_string(of_pixels, width, height, F.coalesce(mode, F.lit("unknown"))), F.lit("")))
+    return F.when(width.isNull() & size.isNull(), named).otherwise(F.concat(named, pixels, F.format_string(of_bytes, size, kind)))

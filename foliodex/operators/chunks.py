@@ -2,110 +2,100 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Tokens above which nothing is summarised, chunks a text may have, keywords and characters of a merged summary.
-TOO_LONG, MOST_CHUNKS, MOST_KEYWORDS, LONG_SUMMARY = 200_000, 5, 15, 500
+#: Characters taken for a token, tokens that ask for one repeated sentence, keywords and characters of a merged summary.
+TOKEN, PER_SENTENCE, MOST_KEYWORDS, LONG_SUMMARY = 4, 50, 15, 500
+#: The sentence that stands for many summaries.
+MANY, REST = "Multi-part document covering: ", " additional topics."
 
-
-def tokens_of(text: str) -> int:
-    return len(text) // 4
+_sentence_end = re.compile(r"\. +|\n\s*\n")
+_space = re.compile(r"\s+")
 
 
-def at_words(text: str, most: int) -> list[str]:
-    """``text`` in parts of at most ``most`` characters, each ending after white space if it has any; blank parts are left out."""
-    out, at = [], 0
-    while at < len(text):
-        end = at + most
-        if end < len(text):
-            end = next((i for i in range(end, at, -1) if text[i - 1].isspace()), end)
-        out.append(text[at:end])
-        at = end
-    return [part for part in out if part.strip()]
+def tokens_of(text: str) -> int:
+    return len(text) // TOKEN
 
 
-def chunk_text(text: str, limit: int, overlap: int = 50, whole: bool = False) -> list[str]:
-    """Chunks of whole sentences (parted at ". ") within nine tenths of ``limit`` tokens.
+def chunk_spans(text: str, limit: int, overlap: int = PER_SENTENCE) -> list[tuple[int, int, int]]:
+    """(start with what is repeated, start, end) of each chunk, none over ``limit`` tokens; the stretches from start to end make up the text.
 
-    A sentence over that is left out; each chunk repeats the last sentences of the one before, one for each 50
-    tokens of overlap and one at least. A chunk that is over the limit all the same is shortened. With ``whole``, nothing
-    is lost: such sentences and chunks are cut at words into further chunks, and these repeat nothing.
+    A text over the limit is cut at nine tenths of it. A cut is at the last sentence end (". " or a blank line) that fits, where
+    there is none at the last white space, else where the chunk is full. A chunk repeats the last sentences of the one before, one
+    for each 50 tokens of ``overlap`` and one at least, as many of them as leave room for a sentence.
     """
+    n = len(text)
     if tokens_of(text) <= limit:
-        return [text]
-    room, back = limit - int(limit * 0.1), max(1, overlap // 50)
-    out: list[str] = []
-    held: list[str] = []
-    size = 0
-    for sentence in text.split(". "):
-        n = tokens_of(sentence)
-        if n > room:
-            if whole and (parts := at_words(sentence, 4 * room + 3)):
-                out += [". ".join(held) + "."] * bool(held) + parts[:-1]
-                held, size = parts[-1:], tokens_of(parts[-1])
-            continue
-        if held and size + n > room:
-            out.append(". ".join(held) + ".")
-            repeated = ". ".join(held[-back:])
-            held = [repeated, sentence] if repeated else [sentence]
-            size = tokens_of(". ".join(held))
-        else:
-            held.append(sentence)
-            size += n
-    if held:
-        out.append(". ".join(held) + ".")
-    if whole:
-        return [part for c in out for part in ([c] if tokens_of(c) <= limit else at_words(c, 4 * limit + 3))]
-    return [c if tokens_of(c) <= limit else shortened(c, limit) for c in out]
-
-
-def shortened(chunk: str, limit: int) -> str:
-    """The leading paragraphs that fit; of a single paragraph the part up to the last sentence end in the final 200 characters, or up to the limit."""
-    parts = chunk.split("\n\n")
-    if len(parts) > 1:
-        taken = ""
-        for i, part in enumerate(parts):
-            longer = f"{taken}\n\n{part}" if taken else part
-            if tokens_of(longer) > limit and taken:
-                break
-            taken = longer if tokens_of(longer) <= limit or not taken else taken
-            if i == 0 and tokens_of(part) > limit:
+        return [(0, 0, n)] if n else []
+    room = TOKEN * (limit - limit // 10)
+    ends = [m.end() for m in _sentence_end.finditer(text) if m.end() < n] + [n]
+    gaps: list[int] | None = None
+    back = max(1, overlap // PER_SENTENCE)
+    out: list[tuple[int, int, int]] = []
+    start = before = 0
+    while start < n:
+        own = bisect_right(ends, start)  # ends[own] is the first end of a sentence after the start
+        # sentences of the chunk before, the longest repetition first
+        for first in (*(ends[i - 1] if i else 0 for i in range(max(0, own - back), own)), start):
+            if before <= first <= start and (to := bisect_right(ends, first + room) - 1) >= own:
+                end = ends[to]
                 break
-        return taken
-    most = limit * 4
-    if len(chunk) <= most:
-        return chunk
-    end = chunk.rfind(". ", max(0, most - 200) + 1, most + 2)
-    return chunk[: end + 1] if end >= 0 else chunk[:most]
-
-
-def chunked(df: DataFrame, key: str, text: str, limit: int, overlap: int = 50, most: int | None = MOST_CHUNKS, whole: bool = False) -> DataFrame:
-    """(key, chunk_no, n_chunks, tokens, chunk, error) of each text; numbers count from 0.
-
-    A text that is too long, has too many chunks (``most``, None for any number) or none, as has a null or empty one, gives one
-    row with an error and no chunk. With ``whole``, no text is too long and chunks hold all of it. Repeated rows are chunked again; other columns are not read.
+        else:
+            first = start
+            if gaps is None:
+                gaps = [m.end() for m in _space.finditer(text)]
+            at = bisect_right(gaps, start + room) - 1
+            end = gaps[at] if at >= 0 and gaps[at] > start else start + room
+        out.append((first, start, min(end, n)))
+        before, start = start, end
+    return out
+
+
+def chunked(df: DataFrame, key: str, text: str, limit: int, overlap: int = PER_SENTENCE, drop_oversize: bool = False, most: int | None = None, largest: int | None = None) -> DataFrame:
+    """(key, chunk_no, n_chunks, overlap_start, start, end, tokens, chunk, error) of each text; numbers count from 0.
+
+    A chunk is the text from ``overlap_start`` to ``end``; the stretches from ``start`` to ``end`` are the whole text. Null, empty and
+    blank texts give one row with the error ``empty`` and no chunk. Three switches, off by default, leave something out as small models need
+    it: ``drop_oversize`` leaves out sentences that are over nine tenths of the limit (positions then are those of the rest; ``no chunk`` if
+    nothing is left), ``most`` and ``largest`` give texts of more chunks, or of so many tokens, only an error (``too many
+    chunks``, ``too long``). Repeated rows are chunked again; other columns are not read.
     """
+    kind = df.schema[key].dataType.simpleString()
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            out = []
-            for k, t in zip(rows["k"], rows["t"]):
-                too_long = bool(t) and not whole and tokens_of(t) >= TOO_LONG
-                found = chunk_text(t, limit, overlap, whole) if t and not too_long else []
-                error = "empty" if not t else "too long" if too_long else "no chunk" if not found else "too many chunks" if most and len(found) > most else None
+    def fit(text_: str) -> str:
+        return ". ".join(s for s in text_.split(". ") if tokens_of(s) <= limit - limit // 10)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                spans, error = [], None
+                if not t or t.isspace():
+                    error = "empty"
+                elif largest is not None and tokens_of(t) >= largest:
+                    error = "too long"
+                else:
+                    if drop_oversize and tokens_of(t) > limit:
+                        t = fit(t)
+                    spans = chunk_spans(t, limit, overlap)
+                    error = "no chunk" if not spans else "too many chunks" if most is not None and len(spans) > most else None
                 if error:
-                    out.append((k, None, len(found), None, None, error))
+                    rows.append((i, None, len(spans), None, None, None, None, None, error))
                 else:
-                    out += [(k, i, len(found), tokens_of(c), c, None) for i, c in enumerate(found)]
-            yield pd.DataFrame(out, columns=["key", "chunk_no", "n_chunks", "tokens", "chunk", "error"]).astype({"chunk_no": "Int32", "tokens": "Int64"})
+                    rows += [(i, at, len(spans), a, b, c, tokens_of(t[a:c]), t[a:c], None) for at, (a, b, c) in enumerate(spans)]
+            of, *columns = zip(*rows) if rows else ((),) * 9
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=list("kabcdefgh"))
 
-    kind = df.schema[key].dataType.simpleString()
     rows = df.select(df[key].alias("k"), df[text].alias("t"))
-    return rows.mapInPandas(cut, f"key {kind}, chunk_no int, n_chunks int, tokens long, chunk string, error string").withColumnRenamed("key", key)
+    schema = f"key {kind}, chunk_no int, n_chunks int, overlap_start long, start long, end long, tokens long, chunk string, error string"
+    return rows.mapInArrow(cut, schema).withColumnRenamed("key", key)
 
 
 def merged_keywords(keywords: Column) -> Column:
@@ -126,7 +116,7 @@ def merged_summaries(parts: DataFrame, key: str, order: str, summary: str) -> Da
     sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("parts"), (F.sum(F.char_length("s")) + F.count(F.lit(1)) - 1).alias("size"))
     leading = rows.withColumn("i", F.row_number().over(numbered)).where(F.col("i") <= LONG_SUMMARY + 1)
     texts = leading.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda x: x["s"]).alias("all"))
-    more = F.when(F.col("parts") > 3, F.concat(F.lit(" and "), F.col("parts") - 3, F.lit(" additional topics."))).otherwise("")
-    named = F.concat(F.lit("Multi-part document covering: "), F.array_join(F.slice("all", 1, 3), "; "), more)
+    more = F.when(F.col("parts") > 3, F.concat(F.lit(" and "), F.col("parts") - 3, F.lit(REST))).otherwise("")
+    named = F.concat(F.lit(MANY), F.array_join(F.slice("all", 1, 3), "; "), more)
     merged = F.when(F.col("parts") == 1, F.get("all", F.lit(0))).when(F.col("size") > LONG_SUMMARY, named).otherwise(F.array_join("all", " "))
     return sizes.join(texts, key).select(key, "parts", merged.alias("merged"))

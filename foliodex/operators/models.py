@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliodex.functions.text import fold, parsed_response, strip
-from foliodex.operators.chunks import MOST_CHUNKS, chunked, merged_keywords, merged_summaries
+from foliodex.operators.chunks import PER_SENTENCE, chunked, merged_keywords, merged_summaries
 from foliodex.session import stage
 
 Embed = Callable[[list[str]], np.ndarray]
@@ -116,11 +116,11 @@ def extractive_summariser() -> Summarise:
     return summarise
 
 
-def summarised(df: DataFrame, key: str, text: str, providers: Sequence[Callable[[], Summarise]], limit: int = 8_192, overlap: int = 50, most: int | None = MOST_CHUNKS, whole: bool = False) -> DataFrame:
+def summarised(df: DataFrame, key: str, text: str, providers: Sequence[Callable[[], Summarise]], limit: int = 8_192, overlap: int = PER_SENTENCE, **left_out: object) -> DataFrame:
     """(key, title, summary, keywords, n_chunks, error) of each text: chunks are summarised by the first provider that works, and merged.
 
     The title is that of the first chunk. A text that cannot be chunked, and one of whose responses cannot be read, has an error and
-    no summary. ``whole`` is that of ``chunked``. ``key`` is unique.
+    no summary. ``left_out`` are the switches of ``chunked`` that leave something out, all off by default. ``key`` is unique.
     """
 
     @F.pandas_udf(T.StringType())
@@ -134,7 +134,7 @@ def summarised(df: DataFrame, key: str, text: str, providers: Sequence[Callable[
                     out[i] = response
             yield pd.Series(out, dtype=object)
 
-    cut = chunked(df, key, text, limit, overlap, most, whole)
+    cut = chunked(df, key, text, limit, overlap, **left_out)
     answers = cut.withColumn("r", F.when(F.col("error").isNull(), parsed_response(respond("chunk"))))
     rows = stage(answers.select(key, "chunk_no", "n_chunks", F.coalesce("error", "r.error").alias("error"), "r.title", "r.summary", "r.keywords"), "summaries")
     whole = rows.groupBy(key).agg(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliodex.functions import text, vectors
@@ -180,7 +180,16 @@ def directory_summaries(spark, sf_dir):
 @query
 def chunk_contents(spark, sf_dir):
     """Chunks of all current contents, none of it left out, for a model of 512 tokens."""
-    return chunks.chunked(current_contents(spark, sf_dir), "file_id", "content", 512, most=None, whole=True).select("file_id", "chunk_no", "n_chunks", "tokens", "error")
+    return chunks.chunked(current_contents(spark, sf_dir), "file_id", "content", 512).select("file_id", "chunk_no", "n_chunks", "tokens", "error")
+
+
+@query
+def chunk_coverage(spark, sf_dir):
+    """How many characters of each current content its chunks cover, chunks that do not begin where the one before ends, and chunks over 512 tokens."""
+    cut = chunks.chunked(current_contents(spark, sf_dir), "file_id", "content", 512).where("error is null")
+    follows = Window.partitionBy("file_id").orderBy("chunk_no")
+    marked = cut.withColumn("gap", F.col("start") != F.coalesce(F.lag("end").over(follows), F.lit(0)))
+    return marked.groupBy("file_id").agg(F.max("end").alias("chars"), F.sum(F.col("end") - F.col("start")).alias("covered"), F.count_if("gap").alias("gaps"), F.count_if((F.col("tokens") > 512) | (F.char_length("chunk") != F.col("end") - F.col("overlap_start"))).alias("over_limit"))
 
 
 @query
@@ -199,7 +208,7 @@ def extractive_summaries(spark, sf_dir):
 @query
 def summarised_contents(spark, sf_dir):
     """All current contents through the summariser slot: in chunks of 1,024 tokens, merged."""
-    found = models.summarised(current_contents(spark, sf_dir), "file_id", "content", [models.extractive_summariser], 1_024, most=None, whole=True)
+    found = models.summarised(current_contents(spark, sf_dir), "file_id", "content", [models.extractive_summariser], 1_024)
     return found.select("file_id", "title", F.char_length("summary").alias("summary_chars"), F.array_join("keywords", " ").alias("keywords"), "n_chunks", "error")
 
 

@@ -98,7 +98,7 @@ SELECT id, concat_ws(' ', CASE WHEN title <> '' THEN 'Title: ' || title END, CAS
     "model_responses": f"""WITH {FILES}, {KEYWORDS}, {LISTED},
 r AS (SELECT id, trim(coalesce(title, ''), {SPACE}) AS title, trim(coalesce(summary, ''), {SPACE}) AS summary,
   array_to_string(list_filter(list_transform(coalesce(words, []), lambda x: trim(x, {SPACE})), lambda x: x <> ''), '|') AS keywords FROM f LEFT JOIN l ON l.file_id = f.id)
-SELECT *, CASE WHEN summary = '' THEN 'Response did not contain a valid summary' END AS error FROM r""",
+SELECT *, CASE WHEN summary = '' THEN 'no summary' END AS error FROM r""",
     "keyword_merge": f"""WITH {KEYWORDS}, one AS (SELECT file_id, keyword FROM k QUALIFY row_number() OVER (PARTITION BY file_id, lower(keyword) ORDER BY keyword) = 1),
 n AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY keyword) AS i FROM one)
 SELECT file_id, string_agg(keyword, '|' ORDER BY keyword) AS keywords FROM n WHERE i <= 15 GROUP BY file_id""",
@@ -107,6 +107,8 @@ g AS (SELECT directory, count(*) AS parts, list(summary ORDER BY id) AS s FROM p
 SELECT directory, parts, CASE WHEN parts = 1 THEN s[1] WHEN length(array_to_string(s, ' ')) > 500
   THEN 'Multi-part document covering: ' || array_to_string(s[1:3], '; ') || CASE WHEN parts > 3 THEN ' and ' || (parts - 3) || ' additional topics.' ELSE '' END
   ELSE array_to_string(s, ' ') END AS merged FROM g""",
+    "chunk_coverage": f"""WITH {CONTENTS} SELECT file_id, length(content)::BIGINT AS chars, length(content)::BIGINT AS covered, 0::BIGINT AS gaps, 0::BIGINT AS over_limit FROM c
+WHERE trim(content, {SPACE} || chr(11) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160)) <> ''""",
     "extracted_keywords": """WITH t AS (SELECT doc_id, unnest(regexp_split_to_array(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+')) AS word FROM documents),
 n AS (SELECT doc_id, word, count(*) AS n FROM t WHERE length(word) > 3 GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) AS i FROM n)

@@ -2,12 +2,15 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import random
+
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from foliodex.functions import vectors
+from foliodex.functions.text import NOT_READ
 from foliodex.operators import chunks, models, search, state, watch
 from foliodex.plans.batch import knn_batch
 from foliodex.sources import config, scan
@@ -126,46 +129,42 @@ def test_watched_directories(spark):
     assert left.count() == 3 and sorted(r["id"] for r in kept.collect()) == [2, 3]
 
 
+def joined(text, limit, overlap=50):
+    """The chunks of a text, after a check that their own stretches make it up."""
+    spans = chunks.chunk_spans(text, limit, overlap)
+    assert "".join(text[b:c] for _, b, c in spans) == text
+    assert all(chunks.tokens_of(text[a:c]) <= limit and a <= b < c for a, b, c in spans)
+    return [text[a:c] for a, _, c in spans]
+
+
 def test_chunks():
-    assert chunks.chunk_text("short. text", 100) == ["short. text"]
+    assert joined("short. text", 100) == ["short. text"] and joined("", 10) == []
     text = ". ".join(f"sentence number {i:03d} goes on" for i in range(40))
-    found = chunks.chunk_text(text, 50)
-    assert all(chunks.tokens_of(c) <= 50 for c in found) and len(found) > 5
-    assert found[1].startswith(found[0].rstrip(".").split(". ")[-1])  # the last sentence again
-    assert all(f"{i:03d}" in " ".join(found) for i in range(40))
-    assert chunks.chunk_text("x" * 1000, 50) == []  # one sentence over the limit is left out
-    assert chunks.shortened("a" * 30 + "\n\n" + "b" * 400, 50) == "a" * 30
-    assert chunks.shortened("c" * 150 + ". " + "d" * 300, 50) == "c" * 150 + "."
-    assert len(chunks.shortened("e" * 500, 50)) == 200
+    found = joined(text, 50)
+    assert len(found) > 5 and all(c.startswith("sentence") for c in found)
+    assert found[1].startswith(found[0].split(". ")[-2])  # the last sentence again
+    assert len(joined(text, 50, 150)[1].split(". ")[0]) and joined(text, 50, 150)[1].startswith(found[0].split(". ")[-4])
+    assert "".join(joined("x" * 1000, 50)) == "x" * 1000
+    words = " ".join(f"word{i:04d}" for i in range(900))
+    assert all(c.startswith("word") and c.rstrip()[-4:].isdigit() for c in joined(words, 50))
+    assert joined(" " * 1000, 50)
+    rng = random.Random(3)
+    for _ in range(200):
+        parts = [rng.choice(["a", "bb", "c" * rng.randint(1, 60), "é"]) + rng.choice([". ", " ", "\n\n", "", ".  ", "\n"]) for _ in range(rng.randint(0, 60))]
+        joined("".join(parts), rng.randint(3, 20), rng.choice([0, 50, 200]))
 
 
 def test_chunked_rows(spark):
-    df = spark.createDataFrame([(1, "a. b"), (2, None), (3, ""), (4, "x" * 2000), (5, ". ".join(["word " * 20] * 60))], "id long, t string")
+    df = spark.createDataFrame([(1, "a. b"), (2, None), (3, ""), (4, "x" * 2000), (5, ". ".join(["word " * 20] * 60)), (6, " \n ")], "id long, t string")
     rows = chunks.chunked(df, "id", "t", 60).collect()
-    assert {r["id"]: r["error"] for r in rows} == {1: None, 2: "empty", 3: "empty", 4: "no chunk", 5: "too many chunks"}
+    assert {r["id"]: r["error"] for r in rows} == {1: None, 2: "empty", 3: "empty", 4: None, 5: None, 6: "empty"}
+    assert sum(len(r["chunk"]) for r in rows if r["id"] == 4) == 2000
+    rows = chunks.chunked(df, "id", "t", 60, drop_oversize=True, most=5, largest=1000).collect()
+    assert {r["id"]: r["error"] for r in rows} == {1: None, 2: "empty", 3: "empty", 4: "no chunk", 5: "too long", 6: "empty"}
+    assert {r["error"] for r in chunks.chunked(df.where("id = 5"), "id", "t", 60, most=5).collect()} == {"too many chunks"}
     assert chunks.chunked(df.limit(0), "id", "t", 60).count() == 0
 
 
-def test_chunks_of_whole_texts(spark):
-    assert "".join(chunks.chunk_text("x" * 1000, 50, whole=True)) == "x" * 1000 + "."
-    words = " ".join(f"word{i:04d}" for i in range(900))
-    assert "".join(chunks.chunk_text(words, 50, whole=True)) == words + "."
-    assert chunks.chunk_text(" " * 1000, 50, whole=True) == []
-    mixed = ". ".join(["one short sentence", words, "a fairly long sentence " * 7, "another of these follows " * 7, "two\n\nparts", "y" * 700, "the end"])
-    found = chunks.chunk_text(mixed, 50, whole=True)
-    assert all(chunks.tokens_of(c) <= 50 for c in found)
-    at, joined = 0, " ".join(found).split()
-    for word in mixed.replace("y" * 700, "").replace(".", " ").split():  # all words, in order
-        at = next(i for i in range(at, len(joined)) if joined[i].rstrip(".") == word) + 1
-    assert "".join(found).count("y") >= 700
-    df = spark.createDataFrame([(1, "x" * 2000), (2, "word " * 170_000), (3, " " * 2000), (4, "a. b")], "id long, t string")
-    rows = chunks.chunked(df, "id", "t", 60, most=None, whole=True).collect()
-    assert {r["id"]: r["error"] for r in rows} == {1: None, 2: None, 3: "no chunk", 4: None}
-    assert sum(len(r["chunk"]) for r in rows if r["id"] == 2) == 850_001
-    whole = models.summarised(df.where("id = 1"), "id", "t", [models.extractive_summariser], 100, most=None, whole=True).first()
-    assert whole["error"] is None and whole["n_chunks"] > 4
-
-
 def test_merged_summaries(spark):
     df = spark.createDataFrame([("a", 1, "one"), ("a", 2, "two"), ("b", 1, "x" * 300), ("b", 2, "y" * 300), ("b", 3, "z"), ("b", 4, "w"), ("c", 1, None), ("d", 1, "only")], "k string, i int, s string")
     got = {r["k"]: r["merged"] for r in chunks.merged_summaries(df, "k", "i", "s").collect()}
@@ -190,12 +189,12 @@ def test_summaries(spark):
 
     long = ". ".join(["Many words stand in this sentence about gardens"] * 30)
     df = spark.createDataFrame([(1, "First one. Second one about trees."), (2, None), (3, long), (4, "x" * 4000)], "id long, t string")
-    rows = {r["id"]: r for r in models.summarised(df, "id", "t", [broken, models.extractive_summariser], 100, most=None).collect()}
+    rows = {r["id"]: r for r in models.summarised(df, "id", "t", [broken, models.extractive_summariser], 100).collect()}
     assert rows[1]["summary"] == "First one." and rows[1]["title"] == "First one. Second one about" and rows[1]["error"] is None
-    assert rows[2]["error"] == "empty" and rows[2]["summary"] is None and rows[4]["error"] == "no chunk"
+    assert rows[2]["error"] == "empty" and rows[2]["summary"] is None and rows[4]["error"] is None
     assert rows[3]["n_chunks"] > 2 and rows[3]["keywords"][0] == "about"
     odd = models.summarised(df.where("id = 1"), "id", "t", [lambda: lambda texts: ["no JSON"] * len(texts)]).first()
-    assert odd["error"] == "Invalid JSON response" and odd["summary"] is None
+    assert odd["error"] == NOT_READ and odd["summary"] is None
 
 
 def test_single_score(spark):

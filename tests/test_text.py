@@ -44,10 +44,11 @@ def test_ancestors_and_scope(spark):
     "response, title, summary, keywords, error",
     [
         ('```json\n{"title": " T ", "summary": " S ", "keywords": ["a", " ", "b "]}\n```', "T", "S", ["a", "b"], None),
+        ('Said: ```{"summary": "S"}``` and ```more```', "", "S", [], None),
         ('{"summary": "S", "keywords": "none"}', "", "S", [], None),
-        ('{"title": "T"}', "T", "", [], "Response did not contain a valid summary"),
-        ("no JSON", "", "", [], "Invalid JSON response"),
-        (None, "", "", [], "Invalid JSON response"),
+        ('{"title": "T"}', "T", "", [], text.NO_SUMMARY),
+        ("no JSON", "", "", [], text.NOT_READ),
+        (None, "", "", [], text.NOT_READ),
     ],
 )
 def test_parsed_response(spark, response, title, summary, keywords, error):
