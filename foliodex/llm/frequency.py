@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,14 +22,19 @@ RARE_RECORDS = 2
 COMMON_SHARE = 0.06
 #: Words of values that are sorted at once.
 BLOCK = 300_000
+#: A record with more than one in so many rows, and more than a block, is spread over so many tasks.
+SHARES = 200
 START, END = 1, 2
 
 
 @F.pandas_udf(T.StringType())
-def normal_term(values: pd.Series) -> pd.Series:
-    """Composed (NFC), lower-cased, runs of white space made one space, trimmed."""
-    lower = values.map(lambda v: unicodedata.normalize("NFC", v).lower(), na_action="ignore")
-    return lower.str.replace(r"[ \t\r\n\f]+", " ", regex=True).str.strip(" ")
+def _composed(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: v if v.isascii() else unicodedata.normalize("NFC", v), na_action="ignore")
+
+
+def normal_term(value: Column) -> Column:
+    """Composed (NFC), lower-cased, runs of white space made one space, trimmed; only composing needs Python."""
+    return F.trim(F.regexp_replace(F.lower(_composed(value)), r"[ \t\r\n\f]+", " "))
 
 
 def suffix_array(codes: np.ndarray, ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,8 +62,12 @@ def suffix_array(codes: np.ndarray, ends: np.ndarray, most: int) -> tuple[np.nda
     return order, np.concatenate([[0], common]) if n else common
 
 
-def block_counts(values: list[str], weights: np.ndarray, records: np.ndarray, n_most: int, whole: bool) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """N-grams of the values with their occurrences and numbers of distinct records; with ``whole``, whole values only."""
+def block_counts(values: list[str], records: np.ndarray, n_most: int, whole: bool) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """N-grams of the values with their occurrences and numbers of distinct records; with ``whole``, whole values only.
+
+    An interval of common prefixes of n words has as many suffixes as the n-gram occurs; in the order of records inside it, each
+    neighbour of the same record is one too many for the number of records, and is subtracted.
+    """
     words = [v.split(" ") for v in values]
     sizes = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
     names, codes = pd.factorize(np.array([x for w in words for x in ("\x00", *w, "\x01")], dtype=object))[::-1]
@@ -85,7 +94,7 @@ def block_counts(values: list[str], weights: np.ndarray, records: np.ndarray, n_
         of, rows = np.unique(interval, return_inverse=True)
         at = order[fits][np.unique(interval, return_index=True)[1]]
         r = row[fits]
-        counts.append(np.bincount(rows, weights[r], len(of)).astype(np.int64))
+        counts.append(np.bincount(rows, minlength=len(of)))
         by = np.lexsort((records[r], rows))
         a, b = rows[by], records[r][by]
         twice = (a[1:] == a[:-1]) & (b[1:] == b[:-1])  # neighbours of one record in an interval
@@ -105,45 +114,50 @@ def term_counts(df: DataFrame, record: str, value: str, n_most: int = 0) -> Data
 
     Terms are whole values, or with ``n_most`` all n-grams of up to so many words (parted by single spaces)
     inside values. Rows with a null record or a null or empty value do not count; repeated rows do. Other
-    columns are not read.
+    columns are not read. Rows go to the suffix arrays as they are; a record with more than one in ``SHARES`` of all
+    rows is spread over many tasks, whose results for it are brought together by record.
     """
-    rows = df.select(df[record].alias("record"), df[value].alias("value")).where("record is not null and value <> ''")
-    held = rows.groupBy("record", "value").agg(F.count(F.lit(1)).alias("n"))
-    kind = held.schema["record"].dataType.simpleString()
+    kind = df.schema[record].dataType.simpleString()
+    out = "bigint" if kind == "bigint" else "string"
+    rows = df.select(df[record].cast(out).alias("record"), df[value].alias("value")).where("record is not null and value <> ''")
+    sizes = rows.groupBy("record").agg(F.count(F.lit(1)).alias("n"))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    hot = [r["record"] for r in sizes.where(F.col("n") > max(BLOCK, total // SHARES)).collect()] if total > BLOCK else []  # fewer than SHARES
+    schema = pa.schema([("term", pa.string()), ("record", pa.int64() if out == "bigint" else pa.string()), ("n", pa.int64()), ("d", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(part: pd.DataFrame, cut: bool) -> pa.RecordBatch:
-            grams, n, d = block_counts(part["value"].tolist(), part["n"].to_numpy(), pd.factorize(part["record"])[0], n_most, not n_most)
-            owner = [part["record"].iloc[0] if cut else None] * len(grams)
+        def emit(part: pd.DataFrame, under_id: bool) -> pa.RecordBatch:
+            grams, n, d = block_counts(part["value"].tolist(), pd.factorize(part["record"])[0], n_most, not n_most)
+            owner = [part["record"].iloc[0] if under_id else None] * len(grams)
             return pa.RecordBatch.from_pandas(pd.DataFrame({"term": grams, "record": pd.Series(owner, dtype=object), "n": n, "d": d}), schema=schema, preserve_index=False)
 
-        schema = pa.schema([("term", pa.string()), ("record", pa.int64() if kind == "bigint" else pa.string()), ("n", pa.int64()), ("d", pa.int64())])
+        def emit_all(part: pd.DataFrame, cut) -> Iterator[pa.RecordBatch]:
+            own = part["record"].isin([*hot, *([] if cut is None else [cut])])
+            for _, one in part[own].groupby("record"):
+                yield emit(one, True)
+            if not own.all():
+                yield emit(part[~own], False)
+
         kept, cut = pd.DataFrame(), None
         for batch in batches:
             kept = pd.concat([kept, batch.to_pandas()], ignore_index=True)
             if len(kept) + kept["value"].str.count(" ").sum() < BLOCK:
                 continue
-            of = kept["record"]
-            if (of == of.iloc[-1]).all():  # a record larger than a block comes out under its own id
-                cut = of.iloc[0]
+            last = kept["record"].iloc[-1]  # may go on in the next batch
+            own = kept["record"] == last
+            if own.all():  # a record larger than a block comes out under its own id
+                cut = last
                 yield emit(kept, True)
                 kept = kept.iloc[:0]
                 continue
-            if (more := of == cut).any():
-                yield emit(kept[more], True)
-            if (done := ~more & (of != of.iloc[-1])).any():
-                yield emit(kept[done], False)
-            kept, cut = kept[of == of.iloc[-1]], None  # the last record may go on in the next batch
+            yield from emit_all(kept[~own], cut)
+            kept, cut = kept[own], cut if cut == last else None
         if len(kept):
-            more = kept["record"] == cut
-            for part, under_id in ((kept[more], True), (kept[~more], False)):
-                if len(part):
-                    yield emit(part, under_id)
+            yield from emit_all(kept, cut)
 
-    out = "bigint" if kind == "bigint" else "string"
-    keyed = held.withColumn("record", F.col("record").cast(out))
-    spread = keyed.repartition("record").sortWithinPartitions("record")
-    parts = spread.mapInArrow(count, f"term string, record {out}, n long, d long")
+    spread = F.when(F.col("record").isin(hot), F.pmod(F.monotonically_increasing_id(), F.lit(SHARES))).otherwise(0) if hot else F.lit(0)
+    placed = rows.withColumn("spread", spread).repartition("record", "spread").sortWithinPartitions("record").select("record", "value")
+    parts = placed.mapInArrow(count, f"term string, record {out}, n long, d long")
     by_record = parts.groupBy("term", "record").agg(F.sum("n").alias("n"), F.when(F.col("record").isNull(), F.sum("d")).otherwise(F.max("d")).alias("d"))
     return by_record.groupBy("term").agg(F.sum("n").alias("occurrences"), F.sum("d").alias("records"))
 
@@ -154,8 +168,8 @@ def marked_terms(df: DataFrame, record: str, value: str, rare: int = RARE_RECORD
 
     Values are normalised by ``normal_term``; nulls, blanks and rows without a record do not count.
     """
-    rows = df.select(df[record].alias("record"), normal_term(df[value]).alias("value")).where("record is not null and value <> ''")
-    kept = stage(rows, "terms")
+    # written before blanks are left out: each value is normalised once
+    kept = stage(df.select(df[record].alias("record"), normal_term(df[value]).alias("value")).where("record is not null"), "terms").where("value <> ''")
     total = kept.select("record").distinct().count()
     mark = F.when(F.col("records") <= rare, "rare").when(F.col("records") >= share * total, "common")
     return term_counts(kept, "record", "value").withColumn("mark", mark)

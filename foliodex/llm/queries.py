@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliodex.llm import frequency, knn, neardup, pack, scans, spans, split, tokenize
@@ -35,6 +35,15 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_pieces(spark, sf_dir).where("piece = 0").select("file_id", "finest")
 
 
+def p2_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many characters of each longer content its pieces cover, and pieces that break a rule: a gap, over 4,000 characters, more than 200 repeated, another text."""
+    follows = Window.partitionBy("file_id").orderBy("piece")
+    cut = p2_pieces(spark, sf_dir).withColumn("gap", F.col("start") != F.coalesce(F.lag("end").over(follows), F.lit(0)))
+    size, again = F.char_length("piece_text"), F.col("start") - F.col("overlap_start")
+    wrong = F.col("gap") | (size > split.LIMIT) | (again < 0) | (again > split.OVERLAP) | (size != F.col("end") - F.col("overlap_start"))
+    return cut.groupBy("file_id").agg(F.max("end").alias("chars"), F.sum(F.col("end") - F.col("start")).alias("covered"), F.count_if(wrong).alias("wrong"))
+
+
 def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five most similar files of every file that has a usable vector."""
     found = knn.neighbours(load(spark, sf_dir, "file_embeddings"), "file_id", "embedding_model", "embedding")
@@ -75,7 +84,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every run of up to three words inside keywords with its occurrences and its files."""
-    rows = load(spark, sf_dir, "file_keywords").select("file_id", frequency.normal_term("keyword").alias("keyword"))
+    rows = load(spark, sf_dir, "file_keywords").select("file_id", frequency.normal_term(F.col("keyword")).alias("keyword"))
     return frequency.term_counts(rows, "file_id", "keyword", 3).toDF("ngram", "occurrences", "n_files")
 
 
@@ -105,7 +114,7 @@ def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_pieces, p3_found, p3_neighbours, p4_found, p4_texts, p5_found, p5_terms, p5_ngrams, p6_ids, p7_found, p7_containers, p8_found, p8_shared)}
+    return {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_pieces, p2_coverage, p3_found, p3_neighbours, p4_found, p4_texts, p5_found, p5_terms, p5_ngrams, p6_ids, p7_found, p7_containers, p8_found, p8_shared)}
 
 
 CURRENT = """current AS (SELECT * FROM (SELECT DISTINCT * FROM file_contents)
@@ -134,6 +143,7 @@ s AS (SELECT file_id, max(length(trim(s, {_SPACE}))) AS n FROM sentences GROUP B
 w AS (SELECT file_id, max(length(w)) AS n FROM words GROUP BY 1)
 SELECT file_id, CASE WHEN p.n <= 4000 THEN 'paragraph' WHEN s.n <= 4000 THEN 'sentence' WHEN w.n <= 4000 THEN 'word' ELSE 'none' END AS finest
 FROM p JOIN s USING (file_id) JOIN w USING (file_id)""",
+        "p2_coverage": f"WITH {CURRENT} SELECT file_id, length(content)::BIGINT AS chars, length(content)::BIGINT AS covered, 0::BIGINT AS wrong FROM current WHERE length(content) > 4000",
         "p5_terms": f"""WITH {_TERMS},
 held AS (SELECT * FROM terms WHERE keyword <> '' AND file_id IN (SELECT id FROM files)),
 total AS (SELECT count(DISTINCT file_id) AS n FROM held)
