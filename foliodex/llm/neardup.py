@@ -1,144 +1,82 @@
 """Near-duplicate texts through pivot distance tables.
 
-A text's fingerprint is a row of min-hash words of its word shingles, cut into segments. Each segment has a
-table of Hamming distances to many reference fingerprints. Texts that agree in a segment have the same
-distances there, so pairs that differ in some coordinate in every table are discarded; that is an equi-join
-on the rows of the tables. What survives is verified on the texts themselves. Where very many texts share a
-template, segments that come from it alone say nothing and are left out.
+A text's fingerprint has one bit of each of ``BITS`` min-hashes of its word shingles, so the Hamming distance of two
+fingerprints tells how similar the texts are. Texts that share a key (a band of min-hashes) meet in a group; some of the group's
+fingerprints are its references, and each member's distances to them its row of a distance table. By the triangle
+inequality two fingerprints are at least as far apart as any two coordinates of theirs differ, so pairs whose greatest
+coordinate difference is over a radius are discarded. What survives is verified on the texts themselves.
+
+No group has more than ``MEMBERS`` members. Texts that meet many others in a band, as those made from one template do, are
+joined instead by their rarest shingles (prefix filtering, which misses nothing), and groups that are still larger are
+cut into blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliodex.llm.tokenize import slices
 from foliodex.llm.words import U, mix, shingles
 from foliodex.session import stage
 
-#: Segments, min-hash words in a segment, and reference fingerprints of a segment's table. Two texts of
-#: similarity s agree in no segment with probability (1 - s**WORDS)**SEGMENTS, 4e-5 at 0.7 and 2e-8 at 0.8.
-SEGMENTS, WORDS, REFERENCES = 24, 3, 12
-#: A shingle is hot if its bucket of so many stands in this share of the texts. Texts with more than ``TEMPLATE`` of their
-#: distinct shingles hot are near-alike without being similar, and get keys of their rare shingles besides.
-BUCKETS, HOT, TEMPLATE = 1 << 20, 0.01, 0.15
+#: Bands, min-hashes in a band, and bits of a fingerprint, one of each min-hash. Two texts of similarity s agree in no band with
+#: probability (1 - s**WORDS)**BANDS, 4e-5 at 0.7 and 2e-8 at 0.8.
+BANDS, WORDS, BITS = 24, 3, 256
+#: Two similar texts are further apart than the radius with at most this probability.
+MISS = 1e-6
+#: Members of a group, and how many of them are references.
+MEMBERS, REFERENCES = 64, 16
+#: Tasks that the members of one band too many are looked up in; pairs that are compared at once.
+SALTS, AT_ONCE = 16, 2_000_000
 _random = np.random.default_rng(20)
-_SCALE = _random.integers(0, 2**32, (2, SEGMENTS * WORDS), np.uint32) | np.uint32(1)
-_PIVOTS = _random.integers(0, 2**32, (SEGMENTS, REFERENCES, WORDS), np.uint32)
-_SPREAD = _random.integers(0, 2**63, REFERENCES, np.uint64) | U(1)
+_SCALE = _random.integers(0, 2**32, (2, BITS), np.uint32) | np.uint32(1)
+
+
+def radius(least: float) -> int:
+    """The distance that fingerprints of texts with a similarity of ``least`` exceed with a probability of at most ``MISS``."""
+    p, tail = (1 - least) / 2, 1.0
+    for r in range(BITS + 1):
+        tail -= comb(BITS, r) * p**r * (1 - p) ** (BITS - r)
+        if tail <= MISS:
+            return r
+    return BITS
 
 
 def minima(runs: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Min-hashes (texts x SEGMENTS * WORDS) of texts that have ``counts`` shingles, each at least one."""
+    """Min-hashes (texts x BITS) of texts that have ``counts`` shingles, each at least one."""
     starts = np.cumsum(counts) - counts
     high, low = (runs >> U(32)).astype(np.uint32), runs.astype(np.uint32)
-    words = np.empty((len(counts), SEGMENTS * WORDS), np.uint32)
-    for k in range(SEGMENTS * WORDS):
+    words = np.empty((len(counts), BITS), np.uint32)
+    for k in range(BITS):
         words[:, k] = np.minimum.reduceat(high * _SCALE[0, k] + low * _SCALE[1, k], starts)
     return words
 
 
-def fingerprints(least: np.ndarray) -> np.ndarray:
-    """Fingerprints of min-hashes: their bits spread evenly."""
-    return (mix(least.astype(U) + U(1)) >> U(20)).astype(np.uint32)
-
+def fingerprints(words: np.ndarray) -> np.ndarray:
+    """Fingerprints (texts x bytes) of min-hashes: a well mixed bit of each."""
+    return np.packbits((mix(words.astype(U) + U(1)) >> U(40)).astype(np.uint8) & 1, axis=1)
 
-def pivot_rows(words: np.ndarray) -> np.ndarray:
-    """For each text and segment the distances to the segment's references, packed into one number."""
-    keys = np.empty((len(words), SEGMENTS), np.int64)
-    for s in range(SEGMENTS):
-        part = words[:, None, s * WORDS : (s + 1) * WORDS] ^ _PIVOTS[s]
-        distances = np.bitwise_count(part).sum(2, dtype=np.uint64)
-        keys[:, s] = mix((distances + U(1)) @ _SPREAD + U(s)).view(np.int64)
-    return keys
 
+def band_rows(words: np.ndarray) -> np.ndarray:
+    """For each text and band one number that stands for its min-hashes."""
+    keys = np.zeros((len(words), BANDS), U)
+    for k in range(WORDS):
+        keys = mix(keys + words[:, k : BANDS * WORDS : WORDS].astype(U) + U(1))
+    return mix(keys + np.arange(BANDS, dtype=U)).view(np.int64)
 
-def bucket_counts(rows: DataFrame, n: int) -> tuple[np.ndarray, int]:
-    """How often each bucket of shingles stands in the texts of (key, version, text), within a tenth, and the number of texts.
 
-    A megabyte, whatever the data."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, texts_ = np.zeros(BUCKETS, np.int64), 0
-        for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for a, b in slices(texts):
-                runs, counts = shingles(texts[a:b], n)
-                held += np.bincount((runs & U(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-                texts_ += int((counts > 0).sum())
-        met = np.flatnonzero(held)
-        for at in range(0, len(met), 50_000):
-            part = met[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(held[part])], names=["bucket", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([texts_])], names=["bucket", "n"])
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, texts_ = np.zeros(BUCKETS, np.uint8), 0
-        for batch in batches:
-            bucket, n_ = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            levels[bucket[bucket >= 0]] = np.rint(8 * np.log2(n_[bucket >= 0] + 1))
-            texts_ += int(n_[bucket < 0].sum())
-        yield pa.RecordBatch.from_arrays([pa.array([levels.tobytes()]), pa.array([texts_])], names=["levels", "texts"])
-
-    counted = rows.mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    # at most BUCKETS + 1 rows meet; one byte a bucket is told
-    found = counted.repartition(1).mapInArrow(gather, "levels binary, texts long").first()
-    if found is None:
-        return np.zeros(BUCKETS), 0
-    return np.exp2(np.frombuffer(found["levels"], np.uint8) / 8) - 1, found["texts"]
-
-
-def table_rows(runs: np.ndarray, counts: np.ndarray, held: np.ndarray, hottest: float, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of all texts, each of at least one shingle, and each text's number of them.
-
-    Keys are the rows of the pivot tables, without those of segments all of whose words come from hot shingles: texts that
-    share a template would all meet there. Two texts with much of a template are compared by their rare shingles too: if
-    their similarity is ``least`` or more, they share one of the first ``n - ceil(least * n) + 1``, counted from the
-    rarest ones; so none is missed. ``held``: the count of each bucket; from ``hottest`` on its shingles are hot.
-    """
-    words = minima(runs, counts)
-    keys = pivot_rows(fingerprints(words))
-    kept = np.ones(keys.shape, bool)
-    is_hot = held[(runs & U(BUCKETS - 1)).astype(np.int64)] >= hottest
-    starts = np.cumsum(counts) - counts
-    extra: dict[int, np.ndarray] = {}
-    with_hot = np.flatnonzero(np.add.reduceat(is_hot, starts)) if len(counts) else np.empty(0, np.int64)
-    if len(with_hot):
-        mine = np.zeros(len(counts), bool)
-        mine[with_hot] = True
-        cold = ~is_hot & np.repeat(mine, counts)
-        n_cold = np.add.reduceat(cold.astype(np.int64), starts)
-        some = np.flatnonzero(mine & (n_cold > 0))
-        rare = np.full(words.shape, np.iinfo(np.uint32).max)
-        if len(some):
-            rare[some] = minima(runs[cold], n_cold[some])
-        from_hot = (rare > words).reshape(len(counts), SEGMENTS, WORDS).all(2)
-        kept[with_hot] = ~from_hot[with_hot]
-        # occurrences tell nothing of the share: a short passage of its own may repeat
-        for i in with_hot.tolist():
-            own = np.unique(runs[starts[i] : starts[i] + counts[i]])
-            heat = held[(own & U(BUCKETS - 1)).astype(np.int64)]
-            if (heat >= hottest).mean() > TEMPLATE:
-                first = np.lexsort((own, heat))[: len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1]
-                extra[i] = mix(own[first] + U(SEGMENTS)).view(np.int64)
-    sizes = kept.sum(1)
-    if not extra:
-        return keys[kept], sizes
-    parts = [np.concatenate([keys[i][kept[i]], extra[i]]) if i in extra else keys[i][kept[i]] for i in range(len(counts))]
-    return np.concatenate(parts), np.array([len(p) for p in parts])
-
-
-def sketch(rows: DataFrame, n: int, held: np.ndarray, hottest: float, least: float) -> DataFrame:
-    """(key, version, class, tables) for each row of (key, version, text) with at least ``n`` words; ``class`` is a hash of its words in order."""
-    held = held.astype(np.float32)
+def sketch(rows: DataFrame, n: int) -> DataFrame:
+    """(key, version, tie, class, bands, print) for each row of (key, version, tie, text) with at least ``n`` words; ``class`` is a hash of its words in order."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
+            texts = batch.column(3).to_pylist()
             for a, b in slices(texts):
                 runs, counts = shingles(texts[a:b], n)
                 kept = np.flatnonzero(counts)
@@ -148,12 +86,118 @@ def sketch(rows: DataFrame, n: int, held: np.ndarray, hottest: float, least: flo
                 starts = np.cumsum(counts) - counts
                 place = np.arange(len(runs)) - np.repeat(starts, counts)
                 of = np.add.reduceat(mix(runs + place.astype(U)), starts).view(np.int64)
-                keys, sizes = table_rows(runs, counts, held, hottest, least)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(keys))
+                words = minima(runs, counts)
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * (len(kept) + 1), BANDS), pa.int32()), pa.array(band_rows(words).ravel()))
+                prints = pa.array([p.tobytes() for p in fingerprints(words)], pa.binary())
                 at = pa.array(kept + a)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(of), lists], names=["key", "version", "class", "tables"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(3)), pa.array(of), bands, prints], names=["key", "version", "tie", "class", "bands", "print"])
 
-    return rows.mapInArrow(compute, f"key long, version {rows.schema['version'].dataType.simpleString()}, class long, tables array<long>")
+    return rows.mapInArrow(compute, f"key long, version {rows.schema['version'].dataType.simpleString()}, tie long, class long, bands array<long>, print binary")
+
+
+def distance_table(prints: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hamming distances (members x REFERENCES) of each member to the first members of its group."""
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    table = np.empty((len(prints), REFERENCES), np.int16)
+    for p in range(REFERENCES):
+        reference = (starts + np.minimum(p, sizes - 1))[group]
+        table[:, p] = np.bitwise_count(prints ^ prints[reference]).sum(1)
+    return table
+
+
+def survivors(groups: DataFrame, within: int) -> DataFrame:
+    """(a, b), a < b, of the pairs inside the groups (group, key, print, left, right, size) that their distance tables do not discard.
+
+    A pair has a ``left`` member and a ``right`` one that comes after it by ``size`` and key; it is discarded if some
+    coordinate differs by more than ``within``.
+    """
+    member = F.struct("key", "print", "left", "right", "size")
+    listed = groups.groupBy("group").agg(F.collect_list(member).alias("members")).where(F.size("members") > 1).select("members")
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0)
+            sizes = np.diff(own.offsets.to_numpy())
+            flat = own.flatten()
+            keys, left, right, size = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("key", "left", "right", "size"))
+            prints = np.frombuffer(b"".join(flat.field("print").to_pylist()), U).reshape(len(keys), -1)
+            starts = np.cumsum(sizes) - sizes
+            table = distance_table(prints, starts, sizes)
+            ends = np.append(np.flatnonzero(np.diff(np.cumsum(sizes**2) // AT_ONCE)) + 1, len(sizes))
+            first = 0
+            for last in ends.tolist():
+                s, n = starts[first:last], sizes[first:last]
+                who = np.arange(s[0], s[0] + n.sum()) if len(n) else np.empty(0, np.int64)
+                mates, begin = np.repeat(n, n), np.repeat(s, n)
+                x = np.repeat(who, mates)
+                y = np.arange(len(x)) - np.repeat(np.cumsum(mates) - mates, mates) + np.repeat(begin, mates)
+                after = left[x] & right[y] & ((size[x] < size[y]) | (size[x] == size[y]) & (keys[x] < keys[y]))
+                x, y = x[after], y[after]
+                near = np.abs(table[x] - table[y]).max(1, initial=0) <= within
+                a, b = keys[x[near]], keys[y[near]]
+                first = last
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return listed.mapInArrow(compute, "a long, b long").distinct()
+
+
+def band_groups(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Groups (group, key) of the texts (key, bands) that share a band with at most ``MEMBERS`` in all, and the keys of those that share one with more.
+
+    No more than one member too many of a band goes through a shuffle from one task.
+    """
+    keyed = texts.select("key", F.explode("bands").alias("group"))
+    inside = Window.partitionBy("group").orderBy("key")
+    met = keyed.withColumn("i", F.row_number().over(inside)).where(F.col("i") <= MEMBERS + 1).groupBy("group").agg(F.collect_list("key").alias("keys")).where(F.size("keys") > 1)
+    met = stage(met, "neardup-bands")
+    full = met.where(F.size("keys") > MEMBERS).select("group", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = keyed.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+    return met.where(F.size("keys") <= MEMBERS).select("group", F.explode("keys").alias("key")), salted.join(full, ["group", "salt"], "left_semi").select("key").distinct()
+
+
+def shingle_rows(texts: DataFrame, n: int) -> DataFrame:
+    """(key, size, shingle) of the distinct shingles of each of (key, text), ``size`` being their number."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(1).to_pylist()
+            for a, b in slices(own):
+                runs, counts = shingles(own[a:b], n)
+                owner = np.repeat(np.arange(a, b), counts)
+                by = np.lexsort((runs, owner))
+                runs, owner = runs[by], owner[by]
+                first = np.ones(len(by), bool)
+                first[1:] = (runs[1:] != runs[:-1]) | (owner[1:] != owner[:-1])
+                runs, owner = runs[first], owner[first]
+                size = np.bincount(owner - a, minlength=b - a)[owner - a] if len(owner) else owner
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(size.astype(np.int32)), pa.array(runs.view(np.int64))], names=["key", "size", "shingle"])
+
+    return texts.select("key", "text").mapInArrow(compute, "key long, size int, shingle long")
+
+
+def prefix_groups(texts: DataFrame, n: int, least: float) -> DataFrame:
+    """(group, key, left, right, size) of texts (key, text) that share one of their rarest shingles.
+
+    Two texts of a similarity of ``least`` share at least 2 * least / (1 + least) of the smaller one's distinct shingles and
+    ``least`` of the larger one's; so one of as many of the rarest of the smaller (``left``) as may be missing and one more is among as
+    many of the larger. Shingles of more than ``MEMBERS`` texts are cut into blocks that meet each other, if any text has them left.
+    """
+    rows = stage(shingle_rows(texts, n), "neardup-shingles")
+    held = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.coalesce("n", F.lit(1)), "shingle"))
+    missing = lambda share: F.col("size") - F.ceil(share * F.col("size") - 1e-9) + 1
+    ranked = rows.join(held, "shingle", "left").withColumn("rank", rank).where(F.col("rank") <= missing(least)).where("n is not null")
+    prefix = stage(ranked.select("shingle", "key", "size", "n", (F.col("rank") <= missing(2 * least / (1 + least))).alias("left")), "neardup-prefixes")
+    few = prefix.where(F.col("n") <= MEMBERS).select(F.col("shingle").alias("group"), "key", "left", F.lit(True).alias("right"), "size")
+    many = prefix.where(F.col("n") > MEMBERS)
+    loads = many.groupBy("shingle").agg(F.ceil(F.count_if("left") / MEMBERS).cast("int").alias("across"), F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("down")).where("across > 0")
+    spread = many.join(loads, "shingle")
+    block: Column = F.xxhash64("key")
+    all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    sides = spread.where("left").withColumn("x", F.pmod(block, F.col("across")).cast("int")).withColumn("y", all_of("down")).withColumn("right", F.lit(False))
+    other = spread.withColumn("y", F.pmod(block, F.col("down")).cast("int")).withColumn("x", all_of("across")).withColumn("right", F.lit(True)).withColumn("left", F.lit(False))
+    blocks = sides.unionByName(other).select(F.xxhash64("shingle", "x", "y").alias("group"), "key", "left", "right", "size")
+    return few.unionByName(blocks)
 
 
 def verified(pairs: DataFrame, n: int, least: float) -> DataFrame:
@@ -182,33 +226,49 @@ def verified(pairs: DataFrame, n: int, least: float) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(compute, "a long, b long, similarity double")
 
 
+def candidates(texts: DataFrame, sources: DataFrame, n: int, least: float, within: int | None = None) -> DataFrame:
+    """(a, b), a < b: the pairs of texts (key, bands, print) that survive; ``sources`` (key, text) holds their texts.
+
+    ``within`` is the radius of ``least`` unless given.
+    """
+    within = radius(least) if within is None else within
+    prints = texts.select("key", "print")
+    few, many = band_groups(texts)
+    both = F.lit(True)
+    pairs = survivors(few.join(prints, "key").select("group", "key", "print", both.alias("left"), both.alias("right"), F.lit(0).alias("size")), within)
+    many = stage(many, "neardup-hot")
+    if not many.isEmpty():
+        groups = prefix_groups(sources.join(many, "key", "left_semi"), n, least)
+        pairs = pairs.unionByName(survivors(groups.join(prints, "key").select("group", "key", "print", "left", "right", "size"), within)).distinct()
+    return pairs
+
+
 def near_duplicates(df: DataFrame, key: str, text: str, version: str | None = None, n: int = 3, least: float = 0.7) -> tuple[DataFrame, DataFrame]:
     """Members (key, class) and similar pairs (class_a, class_b, similarity) of classes, class_a < class_b.
 
     Texts with the same words in order are one class. Similarity is that of the sets of runs of ``n`` words.
-    Where a ``key`` repeats, the row of the greatest ``version`` counts, of equal ones any of the greatest
-    class. Texts with fewer than ``n`` words, null and empty ones and null keys have no class. Other columns
+    Where a ``key`` repeats, the row of the greatest ``version`` counts, of equal ones that of the greatest text
+    hash. Texts with fewer than ``n`` words, null and empty ones and null keys have no class. Other columns
     are not read. Both results are tables in the shared folder; copies are not expanded into pairs.
     """
-    rows = df.select(df[key].cast("long").alias("key"), (df[version] if version else F.lit(None).cast("long")).alias("version"), df[text].alias("text"))
+    rows = df.select(df[key].cast("long").alias("key"), (df[version] if version else F.lit(None).cast("long")).alias("version"), F.xxhash64(df[text]).alias("tie"), df[text].alias("text"))
     rows = rows.where("key is not null")
     latest = rows.groupBy("key").agg(F.max("version").alias("latest"))
-    filled = rows.where("text <> ''")
-    held, texts_ = bucket_counts(filled, n)
-    sketched = sketch(filled, n, held, max(20.0, HOT * texts_), least)
-    current = sketched.join(latest, "key").where(F.col("version").eqNullSafe(F.col("latest")))
-    members = stage(current.groupBy("key").agg(F.max(F.struct("class", "tables")).alias("x")).select("key", "x.class", "x.tables"), "neardup-members")
+    newest = F.col("version").eqNullSafe(F.col("latest"))
+    sketched = sketch(rows.where("text <> ''"), n).join(latest, "key").where(newest)
+    members = stage(sketched.groupBy("key").agg(F.max_by(F.struct("class", "bands", "print"), "tie").alias("x")).select("key", "x.*"), "neardup-members")
     # any member stands for its class; its text is read again for verification
     classes = members.groupBy("class").agg(F.min("key").alias("key"))
-    tables = members.join(classes, ["class", "key"], "left_semi").select("key", F.explode("tables").alias("row"))
-    left, right = tables.toDF("a", "row"), tables.toDF("b", "row")
-    pairs = stage(left.join(right, "row").where("a < b").select("a", "b").distinct(), "neardup-pairs")
+    texts = stage(members.join(classes, ["class", "key"], "left_semi").select("key", "bands", "print"), "neardup-texts")
+
+    def current(wanted: DataFrame) -> DataFrame:
+        own = rows.where("text <> ''").join(wanted, "key").join(latest, "key").where(newest)
+        return own.groupBy("key").agg(F.max_by("text", "tie").alias("text"))
+
+    pairs = stage(candidates(texts, current(texts.select("key")), n, least), "neardup-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    texts = stage(
-        rows.join(wanted, "key").join(latest, "key").where(F.col("version").eqNullSafe(F.col("latest"))).groupBy("key").agg(F.max("text").alias("text")),
-        "neardup-texts",
-    )
-    both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+    sources = stage(current(wanted), "neardup-sources")
+    both = pairs.join(sources.toDF("a", "text_a"), "a").join(sources.toDF("b", "text_b"), "b")
     similar = verified(both, n, least)
     of = members.select("key", "class")
     linked = (

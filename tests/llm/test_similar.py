@@ -41,9 +41,9 @@ def test_near_duplicates_against_brute_force(spark, words):
     assert neardup.expanded(*none).count() == 0
 
 
-@pytest.mark.parametrize("hot", [0.01, 0.3])
-def test_texts_that_share_a_template(spark, words, monkeypatch, hot):
-    monkeypatch.setattr(neardup, "HOT", hot)
+@pytest.mark.parametrize("members", [2, 5, 40])
+def test_texts_that_share_a_template(spark, words, monkeypatch, members):
+    monkeypatch.setattr(neardup, "MEMBERS", members)  # nearly all bands and many shingles are in more texts
     rng = random.Random(7)
     template = words(60, 77).split()
     rows = []
@@ -59,31 +59,69 @@ def test_texts_that_share_a_template(spark, words, monkeypatch, hot):
     assert got == {(a, b) for a in s for b in s if a < b and len(s[a] & s[b]) >= 0.7 * len(s[a] | s[b]) - 1e-9}
 
 
-def test_segments_of_a_template_are_left_out():
-    rng = np.random.default_rng(2)
-    template = rng.integers(0, 2**63, 50, np.uint64)
-    texts = [np.concatenate([template, rng.integers(0, 2**63, 50, np.uint64)]) for _ in range(200)]
-    held = np.zeros(neardup.BUCKETS, np.int64)
-    held[(template & np.uint64(neardup.BUCKETS - 1)).astype(np.int64)] = 200
-    runs, counts = np.concatenate(texts), np.full(200, 100)
-    keys, sizes = neardup.table_rows(runs, counts, held, 50, 0.7)
-    plain, _ = neardup.table_rows(runs, counts, held, 1000, 0.7)
-    most = lambda x: np.unique(x, return_counts=True)[1].max()
-    assert most(plain) > 15 and most(keys) < 5 and sizes.min() > 31
+def prints(texts):
+    runs, counts = zip(*((np.array(sorted(t), np.uint64), len(t)) for t in texts))
+    return np.stack([np.frombuffer(p.tobytes(), np.uint64) for p in neardup.fingerprints(neardup.minima(np.concatenate(runs), np.array(counts)))])
 
 
-def test_template_with_an_own_passage_that_repeats():
-    rng = np.random.default_rng(5)
-    template = rng.integers(0, 2**63, 90, np.uint64)
-    held = np.zeros(neardup.BUCKETS, np.int64)
-    held[(template & np.uint64(neardup.BUCKETS - 1)).astype(np.int64)] = 200
+def alike(rng, share, size=200):
+    """Two sets of a similarity of ``share``."""
+    both = round(2 * size * share / (1 + share))
+    pool = rng.integers(0, 2**63, 2 * size, np.uint64).tolist()
+    return set(pool[:size]), set(pool[size - both : 2 * size - both])
+
+
+def test_coordinates_discard_what_is_far_and_keep_what_is_similar():
+    rng = np.random.default_rng(3)
+    groups = [alike(rng, s) for s in (0.7, 0.3) for _ in range(150)]
+    table = neardup.distance_table(prints([t for g in groups for t in g]), np.arange(0, 600, 2), np.full(300, 2))
+    apart = np.abs(table[::2] - table[1::2]).max(1)
+    within = neardup.radius(0.7)
+    assert (apart[:150] <= within).all() and (apart[150:] > within).mean() > 0.95
+
+
+def test_coordinates_differ_by_no_more_than_the_distance():
+    rng = np.random.default_rng(4)
+    p = rng.integers(0, 2**63, (40, 4), np.uint64)
+    table = neardup.distance_table(p, np.array([0]), np.array([40]))
+    apart = np.abs(table[:, None] - table[None]).max(2)
+    exact = np.bitwise_count(p[:, None] ^ p[None]).sum(2)
+    assert (apart <= exact).all() and (apart[:16] == exact[:16]).all()
+
+
+def test_radius_is_missed_as_rarely_as_stated():
+    rng = np.random.default_rng(6)
+    distance = rng.binomial(neardup.BITS, 0.15, 3_000_000)
+    assert (distance > neardup.radius(0.7)).sum() <= 12 and (distance > neardup.radius(0.7) - 8).sum() > 12
+
+
+def sketched(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "key long, text string").withColumn("version", F.lit(None).cast("long")).withColumn("tie", F.lit(0).cast("long"))
+    return neardup.sketch(rows.select("key", "version", "tie", "text"), 3), rows.select("key", "text")
+
+
+def test_tables_discard_most_pairs_that_only_meet(spark, words):
     texts = []
-    for _ in range(200):  # pairs of similarity 0.7: 60 shingles of the template and 10 own ones, 60 times each, of 100
-        own = np.tile(rng.integers(0, 2**63, 10, np.uint64), 60)
-        texts += [np.concatenate([template[:75], own]), np.concatenate([template[15:], own])]
-    keys, sizes = neardup.table_rows(np.concatenate(texts), np.full(400, 675), held, 50, 0.7)
-    of = np.split(keys, np.cumsum(sizes)[:-1])
-    assert all(len(np.intersect1d(a, b)) for a, b in zip(of[::2], of[1::2]))
+    for i in range(60):  # half of each text is the same, so some bands are, and no pair is similar
+        texts.append(words(70, 5) + " " + words(70, 900 + i))
+    sketch, sources = sketched(spark, texts)
+    met = neardup.candidates(sketch, sources, 3, 0.7, neardup.BITS).count()
+    assert met > 200 and neardup.candidates(sketch, sources, 3, 0.7).count() < 0.2 * met
+
+
+def test_candidates_of_a_template_stay_level(spark, words):
+    each = {}
+    for n in (150, 600):
+        texts = [words(32, 5) + " " + words(70, 10_000 + i) for i in range(n)]
+        each[n] = neardup.candidates(*sketched(spark, texts), 3, 0.7).count() / n
+    assert each[600] <= 2 * each[150] + 0.1
+
+
+def test_versions_that_tie(spark, words):
+    rows = [(1, 1, words(50, 1)), (1, 1, words(50, 2)), (1, 1, None), (2, 1, words(50, 1)), (3, 1, words(50, 2))]
+    df = spark.createDataFrame(rows, "k long, v int, t string")
+    pairs = neardup.expanded(*neardup.near_duplicates(df, "k", "t", "v")).collect()
+    assert len(pairs) == 1 and pairs[0]["a"] == 1
 
 
 def test_only_the_newest_version_counts(spark, words):
@@ -93,14 +131,6 @@ def test_only_the_newest_version_counts(spark, words):
     assert [(r["a"], r["b"]) for r in pairs] == [(1, 3)]
 
 
-def test_pivot_rows_agree_where_segments_do():
-    rng = np.random.default_rng(1)
-    a = rng.integers(0, 2**32, (2, neardup.SEGMENTS * neardup.WORDS), np.uint32)
-    a[1, : neardup.WORDS] = a[0, : neardup.WORDS]
-    rows = neardup.pivot_rows(a)
-    assert rows[0, 0] == rows[1, 0] and (rows[0, 1:] != rows[1, 1:]).all()
-
-
 def brute_spans(texts, least):
     where = {}
     for k, t in texts:
