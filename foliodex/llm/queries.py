@@ -57,7 +57,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scans.repair_scans(current_contents(spark, sf_dir, ~F.col("content").rlike(scans.TOO_WIDE)), "file_id", "content", "extraction_method", load(spark, sf_dir, "file_contents"), "content")
+    return scans.repair_scans(current_contents(spark, sf_dir), "file_id", "content", "extraction_method", load(spark, sf_dir, "file_contents"), "content")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,8 +66,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The repaired text of each scanned file."""
-    return _scans(spark, sf_dir).select("file_id", F.col("repaired").alias("text"))
+    """The repaired text of each scanned file; of files said to be scanned that have no lines of a page, the text as it is with that reason."""
+    return _scans(spark, sf_dir).select("file_id", F.col("repaired").alias("text"), "reason")
 
 
 def p5_terms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,9 @@
 """Text of scanned pages: furniture found, cut words joined, misread words put right, lines made paragraphs.
 
-Skip-gram vectors are learned over all scanned texts, as shifted positive pointwise mutual information of words and
-their neighbours, which is what skip-gram with negative sampling factorises, projected at random. Rare words are
-linked to frequent ones that differ by plausible glyphs and stand in like company; the link that fits best in the
-place is taken. Vocabulary, links and vectors are tables; each text only meets those of its own words.
+Skip-gram vectors are learned over all scanned texts (``company``). Rare words are linked to frequent ones from which they
+differ by glyphs that are misread that way and whose company they keep; what glyphs are misread is learned from words in like company.
+Where a word has several links, the one that fits best in its place is taken. Vocabulary, links and vectors are tables; each text
+only meets those of its own words.
 """
 
 from __future__ import annotations
@@ -18,23 +18,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from foliodex.llm.company import CONTEXTS, CONTROLS, LETTERS, WINDOW, Company, Misreadings, cosine, edit, fit_company, is_misreading, learn_misreadings, one_place_apart, pair_counts, word_vectors
 from foliodex.session import stage
 
-#: No line of a scanned page is longer.
+#: Lines of a scanned page are not longer.
 WIDEST = 120
-#: What a text that is not a page has: a longer line.
-TOO_WIDE = rf"[^\n]{{{WIDEST + 1},}}"
-#: Words to either side that count as company; dimensions; negative samples.
-WINDOW, DIMENSIONS, NEGATIVES = 2, 32, 5
+#: The share of lines that may be longer, run together by whatever read the page.
+MOST_WIDE = 0.1
 #: A misread word is in texts that are not scans at most so many times for one in scans, and its origin so many times more often.
 RARE, OFTEN, LEAST = 1.0, 15, 4
-#: Glyphs as they are misread, and what they were.
-GLYPHS = [
-    *(("c", "e"), ("(", "c"), ("f", "t"), ("†", "t"), ("l", "i"), ("i", "l"), ("1", "l"), ("1", "i"), ("0", "o"), ("5", "s"), ("@", "a"), ("9", "g"), ("6", "b"), ("6", "ó"), ("8", "b"), ("3", "e")),
-    *(("b", "h"), ("y", "v"), ("ě", "é"), ("a", "ä"), ("o", "ö"), ("u", "ü"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("vv", "w"), ("rn", "m"), ("m", "rn"), ("m", "in"), ("ri", "n"), ("ri", "ñ"), ("ii", "u")),
-    *(("ii", "ü"), ("cl", "d"), ("d", "cl"), ("li", "h")),
-]
+#: Log-likelihood ratio, by glyphs and company, from which a word is taken for misread.
+BAR = 1.5
+#: What glyphs that have not been learned count: company must make up for it.
+UNKNOWN = -1.0
 HYPHENS = "-¬­‐"
 EDGES = ".,;:!?\"'«»„“”"
 #: The words for a page in the languages of the texts.
@@ -66,15 +64,40 @@ def alike(a: str, b: str) -> bool:
     return match.real_quick_ratio() >= 0.8 and match.quick_ratio() >= 0.8 and match.ratio() >= 0.8
 
 
+def repeated(cores: Counter) -> dict[str, bool]:
+    """Of distinct strings with their counts, whether each occurs twice or is alike another.
+
+    Alike strings of l and m characters share so many neighbouring pairs of characters that at least 0.4 of the shorter length less two
+    are left in any order; only such are compared. Pairs are counted in blocks of strings by products of arrays.
+    """
+    own = list(cores)
+    pairs = np.zeros((len(own), 512), np.float32)
+    for i, core in enumerate(own):
+        for a, b in zip(core, core[1:]):
+            pairs[i, (ord(a) * 31 + ord(b)) % 512] += 1
+    sizes = np.fromiter(map(len, own), np.int64, len(own))
+    found = {core: n > 1 for core, n in cores.items()}
+    for at in range(0, len(own), 1024):
+        both = pairs[at : at + 1024] @ pairs.T
+        shorter = np.minimum(sizes[at : at + 1024, None], sizes)
+        likely = (both >= 0.4 * shorter - 2) & (np.abs(sizes[at : at + 1024, None] - sizes) <= 4)
+        for i, j in zip(*np.nonzero(likely)):
+            i += at
+            if i < j and not (found[own[i]] and found[own[j]]) and alike(own[i], own[j]):
+                found[own[i]] = found[own[j]] = True
+    return found
+
+
 def is_wrapped(text: str) -> bool:
-    """Whether a text is prose in lines of a page's width, and neither a mail nor a table."""
+    """Whether a text is prose in lines of a page's width, and neither a mail nor a table; a few lines may have been run together."""
     lines = [s for line in text.split("\n") if (s := line.strip())]
-    if len(lines) < 3 or max(map(len, lines)) > WIDEST or _head.match(lines[0]):
+    wide = sum(len(line) > WIDEST for line in lines)
+    if len(lines) < 3 or wide > MOST_WIDE * len(lines) or _head.match(lines[0]):
         return False
     fields = Counter(n for line in lines if (n := sum(map(line.count, ",;|\t"))) > 1)
     if max(fields.values(), default=0) > 0.5 * len(lines):
         return False
-    goes_on = sum(len(a) > 25 and a.count(" ") >= 2 and bool(_wrapped.search(a)) and b[0].isalpha() for a, b in zip(lines, lines[1:]))
+    goes_on = sum(25 < len(a) <= WIDEST and a.count(" ") >= 2 and bool(_wrapped.search(a)) and b[0].isalpha() for a, b in zip(lines, lines[1:]))
     return goes_on >= max(1, 0.25 * len(lines))
 
 
@@ -112,7 +135,7 @@ def furniture(text: str) -> tuple[list[str], list[str]]:
             if core.count(" ") <= 8:
                 cores[i] = skeleton(core)
     kinds_of = Counter(cores.values())  # a long text has one header very often
-    akin = {own: n > 1 or any(alike(own, other) for other in kinds_of if other != own) for own, n in kinds_of.items()}
+    akin = repeated(kinds_of)
     for i, own in cores.items():
         like = akin[own]
         indented = raw[i].lstrip("\f")[:1] == " "
@@ -150,9 +173,18 @@ def cut_words(lines: list[str], kinds: list[str]) -> dict[int, tuple[int, str, s
     return found
 
 
-def asked(text: str) -> tuple[set[str], set[str]]:
+#: One letter for each kind of line.
+LETTER = {"blank": "b", "header": "h", "page_number": "p", "row": "r", "title": "i", "text": "t"}
+KIND = {v: k for k, v in LETTER.items()}
+
+
+def lines_of(text: str, letters: str) -> tuple[list[str], list[str]]:
+    """The lines and kinds that ``furniture`` found, read back from the kinds' letters."""
+    return [line.strip(" \t\r\f") for line in text.split("\n")], [KIND[c] for c in letters]
+
+
+def asked(lines: list[str], kinds: list[str]) -> tuple[set[str], set[str]]:
     """The words of a scanned text that must be looked up, and among them those cut at a line's end, with and without their hyphen."""
-    lines, kinds = furniture(text)
     cut = cut_words(lines, kinds)
     skip = {j for j, *_ in cut.values()}
     words: set[str] = set()
@@ -165,30 +197,6 @@ def asked(text: str) -> tuple[set[str], set[str]]:
     return lettered, lettered & joined
 
 
-def origins(word: str) -> set[str]:
-    """Words that may have been misread as ``word``: one or two glyphs changed back."""
-    places = []
-    for seen, meant in GLYPHS:
-        at = word.find(seen)
-        while at >= 0:
-            places.append((at, at + len(seen), meant))
-            at = word.find(seen, at + 1)
-    found = {word[:a] + x + word[b:] for a, b, x in places}
-    if len(word) >= 5:
-        places.sort()
-        for i, (a, b, x) in enumerate(places):
-            start = word[:a] + x
-            found.update(start + word[b:c] + y + word[d:] for c, d, y in places[i + 1 :] if c >= b)
-    return found - {word}
-
-
-def company(words: list[str]) -> Iterator[tuple[str, str]]:
-    """Skip-gram pairs: each word with those up to ``WINDOW`` places away."""
-    for i, w in enumerate(words):
-        for c in words[max(0, i - WINDOW) : i] + words[i + 1 : i + 1 + WINDOW]:
-            yield w, c
-
-
 def stream(lines: list[str], kinds: list[str]) -> list[str]:
     return [w for i, k in enumerate(kinds) if k == "text" for x in lines[i].split() if (w := normal(x))]
 
@@ -204,7 +212,7 @@ def vocabulary(rows: DataFrame) -> DataFrame:
             total: Counter = Counter()
             for kind in (0, 1):
                 for w, n in counts[kind].items():
-                    if (w := w.strip(EDGES)) and len(w) < 64:
+                    if w := w.strip(EDGES):
                         total[w, kind] += n
             words, of = [w for w, _ in total], [k for _, k in total]
             n = np.fromiter(total.values(), np.int64, len(total))
@@ -214,52 +222,54 @@ def vocabulary(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(count, "word string, clean long, scan long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("scan").alias("scan"))
 
 
-def skip_grams(pages: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(word, vector) of the ``wanted`` words: their neighbours' shifted positive mutual information, projected onto signs."""
+def links(words: DataFrame, known: DataFrame, pages: DataFrame) -> tuple[DataFrame, Company, Misreadings]:
+    """(word, origin, fit, vector) of misread words: frequent words they may have been, the greater the fit the better, and the models that say so.
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts: Counter = Counter()
-            for text in batch.column(0).to_pylist():
-                counts.update(company(stream(*furniture(text))))
-            a, b = ([p[i] for p in counts] for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "near", "n"])
-
-    counted = stage(pages.select("text").mapInArrow(pairs, "word string, near string, n long").groupBy("word", "near").agg(F.sum("n").alias("n")), "scans-pairs")
-    total = counted.agg(F.sum("n")).first()[0] or 1
-    of_word = counted.groupBy("word").agg(F.sum("n").alias("w"))
-    of_near = counted.groupBy("near").agg(F.sum("n").alias("c"))
-    own = counted.join(wanted, "word", "left_semi").join(of_word, "word").join(of_near, "near")
-    strength = F.greatest(F.log(F.col("n") * F.lit(float(total)) / (F.col("w") * F.col("c"))) - F.log(F.lit(float(NEGATIVES))) + F.lit(3.0), F.lit(0.0))
-    hashed = own.select("word", strength.alias("s"), F.xxhash64("near").alias("h"))
-    signs = [F.sum(F.col("s") * (F.lit(2) * F.getbit("h", F.lit(i)).cast("double") - F.lit(1))).cast("float") for i in range(DIMENSIONS)]
-    return hashed.groupBy("word").agg(F.array(*signs).alias("vector"))
-
-
-def links(words: DataFrame, vocabulary_: DataFrame, pages: DataFrame) -> DataFrame:
-    """(word, origin, fit) of misread words: frequent words they may have been, the greater the fit the better.
-
-    ``words``: (word), distinct. A link needs like company unless the word has none.
+    ``words``: (word), distinct; ``known``: their ``vocabulary``; ``pages``: (text, letters). A word is linked if glyphs and company together
+    speak for it; a word without neighbours that are known is judged by its glyphs alone.
     """
-    known = words.join(vocabulary_, "word", "left").na.fill(0, ["clean", "scan"])
-    odd = known.where(F.col("clean") <= RARE * F.greatest("scan", F.lit(1)))
+    letters = F.col("word").rlike(r"^\p{L}[\p{L}\p{M}'’-]*$")
+    often = stage(known.where((F.col("clean") >= LEAST) & letters).select(F.col("word").alias("origin"), F.col("clean").alias("often"), "scan"), "scans-often")
+    longest = often.agg(F.max(F.char_length("origin"))).first()[0] or 0
+    frequent = [r["origin"] for r in often.where("scan > 0").orderBy(F.desc("often"), "origin").limit(CONTEXTS).collect()]
+
+    def streams(batch: pa.RecordBatch) -> Iterator[list[str]]:
+        return (stream(*lines_of(t, k)) for t, k in zip(*(c.to_pylist() for c in batch.columns)))
+
+    counted = pair_counts(pages.select("text", "letters"), streams, frequent)
+    company = fit_company(counted, frequent)
+    vectors = stage(word_vectors(counted, company), "scans-vectors")
+
+    odd = words.join(known, "word", "left").na.fill(0, ["clean", "scan"]).where(F.col("clean") <= RARE * F.greatest("scan", F.lit(1)))
+    odd = stage(odd.select("word", F.col("clean").alias("seen")), "scans-odd")
+    rare = stage(known.where("scan = 0 and clean <= 2").where(F.col("word").rlike(r"\p{L}") & (F.char_length("word") >= LETTERS)).orderBy(F.xxhash64("word"), "word").limit(CONTROLS).select("word", F.col("clean").alias("seen")), "scans-controls")
+    more_often = F.col("often") >= OFTEN * F.greatest("seen", F.lit(0.2))
+    near = stage(one_place_apart(odd, often).where(more_often), "scans-near")
+    alone = lambda df: df.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min("origin").alias("origin")).where("n = 1").select("word", "origin")
+    beside = vectors.toDF("word", "v"), vectors.toDF("origin", "u")
+    aligned = alone(near).join(beside[0], "word").join(beside[1], "origin")
+    n_odd = odd.where((F.char_length("word") >= LETTERS) & ~F.col("word").rlike(f"[{HYPHENS}]")).count()
+    glyphs = learn_misreadings(aligned, alone(one_place_apart(rare, often).where(more_often)), n_odd, rare.count(), HYPHENS)
 
     def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words_, clean = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            rows = [(w, c, o) for w, c in zip(words_, clean) if 1 < len(w) < 40 for o in origins(w)]
-            columns = zip(*rows) if rows else ([], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.int64(), pa.string()))], names=["word", "seen", "origin"])
-
-    guessed = odd.select("word", "clean").mapInArrow(guess, "word string, seen long, origin string")
-    often = vocabulary_.where(F.col("clean") >= LEAST).select(F.col("word").alias("origin"), F.col("clean").alias("often"))
-    found = stage(guessed.join(often, "origin").where(F.col("often") >= OFTEN * F.greatest("seen", F.lit(0.2))).select("word", "origin", "often"), "scans-links")
-    wanted = found.select(F.explode(F.array("word", "origin")).alias("word")).distinct()
-    vectors = stage(skip_grams(pages, wanted), "scans-vectors")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x * y).cast("double")), F.lit(0.0), lambda s, x: s + x)
-    both = found.join(vectors.withColumnRenamed("vector", "v"), "word", "left").join(vectors.toDF("origin", "u"), "origin", "left")
-    cosine = dot("u", "v") / F.sqrt(dot("u", "u") * dot("v", "v"))
-    return both.withColumn("like", F.coalesce(F.when(F.isnan(cosine), None).otherwise(cosine), F.lit(0.0))).where("like > -0.35").select("word", "origin", (F.log("often") * 0.2 + F.col("like")).alias("fit"), F.col("u").alias("vector"))
+            rows = [(w, n, o, weight) for w, n in zip(*(c.to_pylist() for c in batch.columns)) if len(w) > 1 for o, weight in glyphs.origins(w).items()]
+            columns = zip(*rows) if rows else ((),) * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.float64()))], names=["word", "seen", "origin", "weight"])
+
+    def of_glyphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            edits = [edit(w, o) for w, o in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            kept = [i for i, (x, y) in enumerate(edits) if is_misreading(x, y, HYPHENS) and (x, y) not in glyphs.weights]
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    # two edits make a word longer than its origin by two letters at most
+    guessed = odd.where(F.char_length("word") <= longest + 2).mapInArrow(guess, "word string, seen long, origin string, weight double").join(often, "origin").where(more_often).select("word", "origin", "often", "weight")
+    unknown = near.select("word", "origin", "often").mapInArrow(of_glyphs, "word string, origin string, often long").withColumn("weight", F.lit(UNKNOWN))
+    found = guessed.unionByName(unknown).join(beside[0], "word", "left").join(beside[1], "origin", "left")
+    scored = found.withColumn("fit", F.col("weight") + glyphs.of_company(cosine(F.col("v"), F.col("u"))))
+    linked = scored.where(F.col("fit") >= BAR).select("word", "origin", (F.col("fit") + 0.2 * F.log("often")).alias("fit"), F.col("u").alias("vector"))
+    return linked, company, glyphs
 
 
 def recase(seen: str, origin: str) -> str:
@@ -275,35 +285,20 @@ def recase(seen: str, origin: str) -> str:
     return left + origin + right
 
 
-def _signs(word: str) -> np.ndarray:
-    """The signs ``skip_grams`` gives a neighbour: the bits of its hash."""
-    import xxhash
-
-    h = xxhash.xxh64_intdigest(word.encode(), 42)  # 42 is the seed of Spark's xxhash64
-    return np.array([2 * ((h >> i) & 1) - 1 for i in range(DIMENSIONS)], np.float64)
-
-
-def _best(options: list[dict], near: list[str]) -> str:
+def _best(options: list[dict], near: list[str], company: Company | None) -> str:
     """The origin that fits best: overall, and beside the words it stands among."""
-    if len(options) == 1:
-        return options[0]["origin"]
-    signs = [_signs(w) for w in near]
-
-    def score(o: dict) -> float:
-        u = np.array(o["vector"] or [0.0] * DIMENSIONS)
-        size = np.sqrt((u**2).sum() * DIMENSIONS) or 1.0
-        return o["fit"] + sum(float(u @ x) / size for x in signs) / max(len(signs), 1)
-
-    return max(options, key=lambda o: (score(o), o["origin"]))["origin"]
+    if len(options) == 1 or company is None:
+        return max(options, key=lambda o: (o["fit"], o["origin"]))["origin"]
+    beside = lambda o: company.fit_of(o["vector"], near) if o["vector"] else 0.0
+    return max(options, key=lambda o: (o["fit"] + 2 * beside(o), o["origin"]))["origin"]
 
 
-def repair(text: str, seen: dict[str, int], options: dict[str, list[dict]], scanned: bool) -> tuple[list[tuple[int, str]], str]:
+def repair(text: str, lines: list[str], kinds: list[str], seen: dict[str, int], options: dict[str, list[dict]], scanned: bool, company: Company | None = None) -> tuple[list[tuple[int, str]], str]:
     """The kinds of a text's lines as (line number from 1, kind), and the text in paragraphs.
 
-    ``seen``: occurrences of joined words outside scans; ``options``: the links of misread words. Unless ``scanned``,
+    ``lines`` and ``kinds``: what ``furniture`` found; ``seen``: occurrences of joined words outside scans; ``options``: the links of misread words. Unless ``scanned``,
     the page must show that it is one by a page number, cut words, or two headers or misread words in all; else nothing is changed.
     """
-    lines, kinds = furniture(text)
     cut = cut_words(lines, kinds)
     other = sum(h != "-" for *_, h in cut.values())
     parted: dict[int, tuple[int, str, str, str]] = {}
@@ -328,7 +323,7 @@ def repair(text: str, seen: dict[str, int], options: dict[str, list[dict]], scan
     for at, (w, i, j) in enumerate(words):
         if found := options.get(normal(w)):
             near = [normal(x[0]) for x in words[max(0, at - WINDOW) : at] + words[at + 1 : at + 1 + WINDOW]]
-            right[at] = recase(w, _best(found, near))
+            right[at] = recase(w, _best(found, near, company))
             if j < 0:
                 misread.add(i)
             else:
@@ -380,35 +375,39 @@ def _paragraphs(text: str, lines: list[str], kinds: list[str], words: list[tuple
 
 
 def repair_scans(df: DataFrame, key: str, text: str, method: str, corpus: DataFrame, corpus_text: str) -> DataFrame:
-    """(key, kinds, repaired): for each scanned text of ``df`` its lines that are furniture, cut or misread, as an array of
+    """(key, kinds, repaired, reason): for each scanned text of ``df`` its lines that are furniture, cut or misread, as an array of
     (line_no, kind), and the repaired text.
 
-    A text is taken for scanned if it is prose in lines of a page's width and ``method`` says ocr or the lines show it;
-    others give no row, nor do null and blank texts or null keys. Of rows with one key, each is repaired, with
+    A text is taken for scanned if it is prose in lines of a page's width and ``method`` says ocr or the lines show it. A text of which
+    ``method`` says ocr and that is not blank, but not such prose, comes out as it is, without kinds, with the reason ``no lines of a
+    page``; other texts give no row, nor do null and blank ones or null keys. Of rows with one key, each is repaired, with
     the links of all. Word counts are taken over the whole column ``corpus_text`` of ``corpus``. Other columns
     are not read.
     """
     rows = df.select(df[key].cast("long").alias("key"), df[text].alias("text"), F.coalesce(df[method] == "ocr", F.lit(False)).alias("ocr"))
-    narrow = ~F.col("text").rlike(TOO_WIDE)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([is_wrapped(t) for t in batch.column(1).to_pylist()], pa.bool_()))
+            letters = ["".join(LETTER[k] for k in furniture(t)[1]) if is_wrapped(t) else None for t in batch.column(1).to_pylist()]
+            found = pa.array(letters, pa.string())
+            whole = pa.RecordBatch.from_arrays([*batch.columns, found], names=["key", "text", "ocr", "letters"])
+            yield whole.filter(pa.array([bool(x or o) for x, o in zip(letters, batch.column(2).to_pylist())], pa.bool_()))
 
-    pages = stage(rows.where(F.col("key").isNotNull() & F.col("text").isNotNull() & narrow).mapInArrow(keep, "key long, text string, ocr boolean"), "scans-pages")
+    read = stage(rows.where(F.col("key").isNotNull() & F.col("text").rlike(r"\S")).mapInArrow(keep, "key long, text string, ocr boolean, letters string"), "scans-pages")
+    pages = read.where("letters is not null")
     known = stage(vocabulary(corpus.select(corpus[corpus_text].alias("text")).where("text <> ''")), "scans-words")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words, joined = asked(t)
+            for k, t, x in zip(*(c.to_pylist() for c in batch.columns)):
+                words, joined = asked(*lines_of(t, x))
                 found += [(k, w, w in joined) for w in words]
             columns = zip(*found) if found else ([], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.string(), pa.bool_()))], names=["key", "word", "joined"])
 
-    wanted = stage(pages.select("key", "text").mapInArrow(ask, "key long, word string, joined boolean"), "scans-asked")
-    linked = links(wanted.select("word").distinct(), known, pages)
+    wanted = stage(pages.select("key", "text", "letters").mapInArrow(ask, "key long, word string, joined boolean"), "scans-asked")
+    linked, company, _ = links(wanted.select("word").distinct(), known, pages)
     options = linked.groupBy("word").agg(F.collect_list(F.struct("origin", "fit", "vector")).alias("options"))
     with_options = wanted.join(options, "word").select("key", "word", F.lit(0).cast("long").alias("clean"), "options")
     joined = wanted.where("joined").join(known.where("clean > 0").select("word", "clean"), "word").select("key", "word", "clean", F.lit(None).cast(options.schema["options"].dataType).alias("options"))
@@ -418,13 +417,17 @@ def repair_scans(df: DataFrame, key: str, text: str, method: str, corpus: DataFr
         kind = pa.list_(pa.struct([("line_no", pa.int64()), ("kind", pa.string())]))
         for batch in batches:
             keys, marks, texts = [], [], []
-            for k, t, ocr, own in zip(*(c.to_pylist() for c in batch.columns)):
+            for k, t, ocr, letters, own in zip(*(c.to_pylist() for c in batch.columns)):
                 own = own or []
-                m, repaired = repair(t, {f["word"]: f["clean"] for f in own if f["options"] is None}, {f["word"]: f["options"] for f in own if f["options"]}, ocr)
+                counts, choices = {f["word"]: f["clean"] for f in own if f["options"] is None}, {f["word"]: f["options"] for f in own if f["options"]}
+                m, repaired = repair(t, *lines_of(t, letters), counts, choices, ocr, company)
                 if m or ocr:
                     keys.append(k)
                     marks.append([{"line_no": i, "kind": x} for i, x in m])
                     texts.append(repaired)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(marks, kind), pa.array(texts, pa.string())], names=["key", "kinds", "repaired"])
 
-    return pages.join(facts, "key", "left").select("key", "text", "ocr", "facts").mapInArrow(mend, "key long, kinds array<struct<line_no: long, kind: string>>, repaired string").withColumnRenamed("key", key)
+    kinds_type = "array<struct<line_no: long, kind: string>>"
+    mended = pages.join(facts, "key", "left").select("key", "text", "ocr", "letters", "facts").mapInArrow(mend, f"key long, kinds {kinds_type}, repaired string").withColumn("reason", F.lit(None).cast("string"))
+    others = read.where("letters is null").select("key", F.array().cast(T._parse_datatype_string(kinds_type)).alias("kinds"), F.col("text").alias("repaired"), F.lit("no lines of a page").alias("reason"))
+    return mended.unionByName(others).withColumnRenamed("key", key)
