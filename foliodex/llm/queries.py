@@ -57,7 +57,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scans.repair_scans(current_contents(spark, sf_dir), "file_id", "content", "extraction_method", load(spark, sf_dir, "file_contents"), "content")
+    return scans.repair_scans(current_contents(spark, sf_dir, scans.likely(F.col("content"), F.col("extraction_method"))), "file_id", "content", "extraction_method", load(spark, sf_dir, "file_contents"), "content")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

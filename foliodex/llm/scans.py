@@ -16,7 +16,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -101,6 +101,11 @@ def is_wrapped(text: str) -> bool:
     return goes_on >= max(1, 0.25 * len(lines))
 
 
+def likely(text: Column, method: Column) -> Column:
+    """Whether a text may be a page or is said to be one: some line ends in a letter and goes on with a letter."""
+    return F.coalesce(method == "ocr", F.lit(False)) | text.rlike(rf"\p{{L}}[{HYPHENS},]*[ \t\r]*\n[ \t\r\f\n]*\p{{L}}")
+
+
 def is_page_number(s: str) -> bool:
     if _number.fullmatch(s):
         return True
