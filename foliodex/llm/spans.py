@@ -5,7 +5,8 @@ neighbouring stretches with the same lowest value make up a chunk. Where a chunk
 characters near by only, so an insertion shifts chunks without changing them. Chunks are deduplicated by digest: a
 chunk that stands in two documents is shared as a whole, and of each chunk one copy is compared further, stretch by
 stretch, with other chunks of the same lowest value. Two equal stretches always have the same lowest value, so none
-is missed.
+is missed. Chunks and stretches are told by two hashes, their own of 64 bits and the lowest value of 58 bits, so
+chance makes no two of them equal at any size of data.
 """
 
 from __future__ import annotations
@@ -87,13 +88,13 @@ def _chunk_rows(df: DataFrame, least: int) -> DataFrame:
             for rows, offsets, parts in _parts(docs, batch.column(1).to_pylist(), least):
                 of, low, digest, lo, n = chunks(parts, least)
                 doc = batch.column(0).take(pa.array(np.array(rows)[of]))
-                yield pa.RecordBatch.from_arrays([pa.array(low.view(np.int64)), pa.array(digest.view(np.int64)), doc, pa.array(lo + np.array(offsets)[of]), pa.array(n)], names=["low", "digest", "doc", "lo", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(low.view(np.int64)), pa.array(digest.view(np.int64)), doc, pa.array(lo + np.array(offsets)[of], pa.int32()), pa.array(n, pa.int32())], names=["low", "digest", "doc", "lo", "n"])
 
-    return df.mapInArrow(compute, "low long, digest long, doc long, lo long, n long")
+    return df.mapInArrow(compute, "low long, digest long, doc long, lo int, n int")
 
 
 def _stretch_rows(df: DataFrame, least: int) -> DataFrame:
-    """(hash, digest, k, owner) of each stretch of the chunks of (text, chunks), chunks being (digest, owner, lo, n)."""
+    """(hash, low, digest, k, owner) of each stretch of the chunks of (text, chunks), chunks being (low, digest, owner, lo, n)."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,10 +123,10 @@ def _stretch_rows(df: DataFrame, least: int) -> DataFrame:
                 # of several texts of one key, a chunk is in one
                 its = span_hash(sums, starts, np.minimum(starts + count + least - 1, len(codes))).view(np.int64) == flat.field("digest").slice(at, end - at).to_numpy()
                 take = pa.array(row[its[row]] + at)
-                yield pa.RecordBatch.from_arrays([pa.array(hashed[its[row]]), flat.field("digest").take(take), pa.array(k[its[row]].astype(np.int32)), flat.field("owner").take(take)], names=["hash", "digest", "k", "owner"])
+                yield pa.RecordBatch.from_arrays([pa.array(hashed[its[row]]), flat.field("low").take(take), flat.field("digest").take(take), pa.array(k[its[row]].astype(np.int32)), flat.field("owner").take(take)], names=["hash", "low", "digest", "k", "owner"])
                 at = end
 
-    return df.select("text", "chunks").mapInArrow(compute, "hash long, digest long, k int, owner long")
+    return df.select("text", "chunks").mapInArrow(compute, "hash long, low long, digest long, k int, owner long")
 
 
 def _merged(ranges: DataFrame) -> DataFrame:
@@ -146,28 +147,30 @@ def shared_spans(df: DataFrame, key: str, text: str, least: int = LEAST) -> Data
     if least < GEAR:
         raise ValueError(f"least must be at least {GEAR}")
     docs = df.select(df[key].cast("long").alias("doc"), df[text].alias("text")).where(F.col("doc").isNotNull() & (F.char_length("text") >= least))
-    every = _chunk_rows(docs, least)
+    every = stage(_chunk_rows(docs, least), "spans-every")
     two = F.min("doc") != F.max("doc")
     met = every.groupBy("low").agg(two.alias("two")).where("two").select("low")
     held = stage(every.join(met, "low", "left_semi"), "spans-chunks")
-    # one row per distinct chunk; owner is null where it stands in several documents
+    # one row per distinct chunk, told by its digest and its lowest value together; owner is null where it stands in several documents
     distinct = stage(
-        held.groupBy("digest").agg(F.min(F.struct("doc", "lo", "n")).alias("at"), F.min("low").alias("low"), F.when(~two, F.min("doc")).alias("owner")),
+        held.groupBy("low", "digest").agg(F.min(F.struct("doc", "lo", "n")).alias("at"), F.when(~two, F.min("doc")).alias("owner")),
         "spans-distinct",
     )
-    whole = held.join(distinct.where("owner is null").select("digest"), "digest", "left_semi").select("doc", F.col("lo").alias("a"), (F.col("lo") + F.col("n") + least - 1).alias("b"))
+    chunk = ["low", "digest"]
+    whole = held.join(distinct.where("owner is null").select(chunk), chunk, "left_semi").select("doc", F.col("lo").alias("a"), (F.col("lo") + F.col("n") + least - 1).alias("b"))
     # chunks that share their lowest value with another chunk, unless all of these are shared as a whole
     kin = distinct.groupBy("low").agg(F.count(F.lit(1)).alias("kinds"), F.count("owner").alias("single")).where("kinds > 1 and single > 0").select("low")
-    open_ = distinct.join(kin, "low", "left_semi").select("at.doc", F.struct("digest", "owner", "at.lo", "at.n").alias("chunk"))
+    open_ = distinct.join(kin, "low", "left_semi").select("at.doc", F.struct("low", "digest", "owner", "at.lo", "at.n").alias("chunk"))
     by_doc = open_.groupBy("doc").agg(F.collect_list("chunk").alias("chunks"))  # no more than the document has
     stretches = stage(_stretch_rows(by_doc.join(docs, "doc"), least), "spans-stretches")
+    # equal stretches have equal lowest values, so hash and value together tell them
     several = F.max(F.col("owner").isNull()) | (F.min("owner") != F.max("owner"))
-    common = stretches.groupBy("hash").agg(several.alias("several"), F.count("owner").alias("single")).where("several and single > 0").select("hash")
-    found = stretches.where("owner is not null").join(common, "hash", "left_semi").select("digest", "k").distinct()
-    number = Window.partitionBy("digest").orderBy("k")
-    runs = found.withColumn("run", F.col("k") - F.row_number().over(number)).groupBy("digest", "run").agg(F.min("k").alias("k0"), F.max("k").alias("k1"))
-    partly = held.join(runs, "digest").select("doc", (F.col("lo") + F.col("k0")).alias("a"), (F.col("lo") + F.col("k1") + least).alias("b"))
-    return _merged(whole.unionByName(partly)).select(F.col("doc").alias(key), F.col("a").alias("span_start"), F.col("b").alias("span_end"))
+    common = stretches.groupBy("hash", "low").agg(several.alias("several"), F.count("owner").alias("single")).where("several and single > 0").select("hash", "low")
+    found = stretches.where("owner is not null").join(common, ["hash", "low"], "left_semi").select(*chunk, "k").distinct()
+    number = Window.partitionBy(chunk).orderBy("k")
+    runs = found.withColumn("run", F.col("k") - F.row_number().over(number)).groupBy(*chunk, "run").agg(F.min("k").alias("k0"), F.max("k").alias("k1"))
+    partly = held.join(runs, chunk).select("doc", (F.col("lo") + F.col("k0")).alias("a"), (F.col("lo") + F.col("k1") + least).alias("b"))
+    return _merged(whole.unionByName(partly)).select(F.col("doc").alias(key), F.col("a").cast("long").alias("span_start"), F.col("b").cast("long").alias("span_end"))
 
 
 def shared_part(df: DataFrame, key: str, text: str, least: int = LEAST) -> DataFrame:
