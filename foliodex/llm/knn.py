@@ -1,8 +1,8 @@
 """Most similar vectors for every vector: a hierarchical k-means tree, searched best bin first.
 
 The tree is fit on a bounded sample, its bins hold all vectors. A query takes the nearest node out of a priority
-queue until it has seen a number of bins, and that number grows until a sample of queries reaches the wanted
-recall against brute force. Equal vectors are one entry that stands for its smallest keys.
+queue and goes on to bins that are not much farther than its first one; how much, and how many bins at most, is widened until a
+sample of queries reaches the wanted recall against brute force. Equal vectors are one entry that stands for its smallest keys.
 """
 
 from __future__ import annotations
@@ -19,13 +19,13 @@ from foliodex.session import stage
 
 #: The lengths of the vectors of each model.
 DIMENSIONS = {"local-small-64": 64, "online-mid-96": 96}
-#: Vectors of a model that its tree is fit on at most, and queries that calibrate it at most.
-SAMPLE, QUERIES = 20_000, 300
+#: Vectors of a model that its tree is fit on: so many for each bin, but no fewer and no more; and queries that calibrate it at most.
+PER_BIN, FEWEST, SAMPLE, QUERIES = 40, 20_000, 200_000, 1_000
 #: Children of a node, rounds of k-means.
 BRANCHES, ROUNDS = 12, 8
-RECALL = 0.985
+RECALL = 0.99
 #: Members and visitors of a bin that one task compares at once: a query is sent once for each bin it visits, unless the bin is fuller.
-MEMBERS, VISITORS = 16_000, 60_000
+MEMBERS, VISITORS = 4_000, 30_000
 #: Neighbours by single precision that are compared in double precision, and what single precision may be off.
 CLOSE, OFF = 24, 4e-6
 #: Cosines count in millionths.
@@ -33,8 +33,8 @@ MILLION = 1_000_000
 
 
 def bin_size(n: int) -> int:
-    """Vectors a bin of ``n`` should hold: few enough to tell them apart, and as many as keep a query from visiting too many bins."""
-    return min(MEMBERS, max(200, round(14 * n**0.5)))
+    """Vectors a bin of ``n`` should hold: few enough to tell them apart, as many as keep a query from visiting too many bins, and never more than ``MEMBERS``."""
+    return min(MEMBERS, max(200, round(6 * n**0.5)))
 
 
 @dataclass
@@ -45,13 +45,13 @@ class Tree:
     first: np.ndarray
     count: np.ndarray
 
-    def visits(self, queries: np.ndarray, most: int) -> np.ndarray:
-        """The ``most`` first bins (-1 where there are fewer) that best-bin-first search takes out for each query.
+    def visits(self, queries: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ``most`` first bins (-1 where there are fewer) that best-bin-first search takes out for each query, and their squared distances.
 
         All queries move on together; a row of ``near`` is one query's priority queue.
         """
         n, width = len(queries), int(self.count.max(initial=1))
-        out, seen = np.full((n, most), -1), np.zeros(n, np.int64)
+        out, apart, seen = np.full((n, most), -1), np.full((n, most), np.inf), np.zeros(n, np.int64)
         near, node, used = np.full((n, width + 1), np.inf), np.zeros((n, width + 1), np.int64), np.ones(n, np.int64)
         near[:, 0] = 0
         rows = np.arange(n)
@@ -60,11 +60,12 @@ class Tree:
             live = np.isfinite(near[rows, at]) & (seen[rows] < most)
             rows, at = rows[live], at[live]
             if not len(rows):
-                return out
-            taken = node[rows, at]
+                return out, apart
+            taken, far_ = node[rows, at], near[rows, at]
             near[rows, at] = np.inf
             bins = self.count[taken] == 0
             out[rows[bins], seen[rows[bins]]] = taken[bins]
+            apart[rows[bins], seen[rows[bins]]] = far_[bins]
             seen[rows[bins]] += 1
             r, t = rows[~bins], taken[~bins]
             if len(r):
@@ -82,6 +83,12 @@ class Tree:
                 node[r[:, None], slot] = child
                 used[r] += width
 
+    def near_bins(self, queries: np.ndarray, most: int, slack: float) -> tuple[np.ndarray, np.ndarray]:
+        """Query and bin of the visits: those of the ``most`` first bins that are no farther than ``slack`` times the first."""
+        order, apart = self.visits(queries, most)
+        row, place = np.nonzero((order >= 0) & (apart <= slack**2 * apart[:, :1] + 1e-12))
+        return row, order[row, place]
+
     def bin_of(self, vectors: np.ndarray) -> np.ndarray:
         """The bin of each vector: down to the nearest child until there is none."""
         at = np.zeros(len(vectors), np.int64)
@@ -198,13 +205,13 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.sqrt((m**2).sum(1))[:, None]
 
 
-def _index(entries: DataFrame, k: int, least: int, dimensions: dict[str, int]) -> tuple[dict[str, Tree], dict[str, int], DataFrame]:
-    """The tree and number of bins to visit of each model, and all entries with their bins."""
-    sizes = {r["model"]: r["count"] for r in entries.groupBy("model").count().collect()}
+def _index(entries: DataFrame, k: int, least: int, dimensions: dict[str, int]) -> tuple[dict[str, Tree], dict[str, tuple[int, float]], DataFrame]:
+    """The tree of each model, how many bins to visit at most and how much farther than the first, and all entries with their bins."""
+    sizes = {r["model"]: r["count"] for r in entries.groupBy("model").count().collect()}  # one row for each known model
     trees: dict[str, Tree] = {}
     asked: dict[str, pa.Table] = {}
     for m, n in sizes.items():
-        drawn = entries.where(F.col("model") == m).orderBy(F.xxhash64("v", F.lit(1)), "entry").limit(min(SAMPLE, n)).select("entry", "v").toArrow()
+        drawn = entries.where(F.col("model") == m).orderBy(F.xxhash64("v", F.lit(1)), "entry").limit(min(SAMPLE, max(FEWEST, PER_BIN * n // bin_size(n)), n)).select("entry", "v").toArrow()
         points = _unit(matrix(drawn["v"].combine_chunks(), dimensions[m]))
         trees[m] = fit_tree(points, max(1, bin_size(n) * len(points) // n))
         asked[m] = drawn.slice(0, QUERIES)
@@ -236,16 +243,20 @@ def _index(entries: DataFrame, k: int, least: int, dimensions: dict[str, int]) -
         own = near[near["model"] == m]
         own = own[own["entry"].to_numpy() != queries[m][1][own["query"].to_numpy()]]
         most = int((tree.count == 0).sum())
-        widest, order = min(most, 4), np.empty((0, 0))
         if not len(own):
-            visits[m] = widest
+            visits[m] = min(most, 4), 1.0
             continue
+        widest = min(most, 4)
         while True:
-            order = tree.visits(_unit(queries[m][0]), widest)
-            hit = order[own["query"].to_numpy()] == own["bin"].to_numpy()[:, None]
-            reached = np.cumsum(hit.any(1)[:, None] & hit, 1).sum(0) / len(own)
-            if reached[-1] >= RECALL or widest == most:
-                visits[m] = int(np.argmax(reached >= min(RECALL, reached[-1]))) + 1
+            order, apart = tree.visits(_unit(queries[m][0]), widest)
+            of = own["query"].to_numpy()
+            hit = order[of] == own["bin"].to_numpy()[:, None]
+            met = hit.any(1)
+            # how much farther than the first bin the bin of each true neighbour lies; those not met are beyond all
+            ratio = np.sqrt(np.where(met, (apart[of] * hit).max(1, where=hit, initial=0), np.inf) / np.maximum(apart[of, 0], 1e-12))
+            if met.mean() >= RECALL + (1 - RECALL) / 2 or widest == most:
+                needed = np.sort(ratio)[max(0, int(np.ceil(RECALL * len(ratio))) - 1)]
+                visits[m] = widest, float(needed if np.isfinite(needed) else ratio[met].max(initial=1.0)) + 1e-6
                 break
             widest = min(most, widest * 2)
     return trees, visits, placed
@@ -268,7 +279,7 @@ def neighbours(df: DataFrame, key: str, model: str, vector: str, k: int = 5, lea
     of_vector = salted.groupBy("model", "digest", "check").agg(F.min("key").alias("entry"))
     members = salted.select("model", "key", "digest", "check", "salt").join(of_vector, ["model", "digest", "check"]).drop("digest", "check")
     members = stage(members, "knn-members")
-    entries = rows.join(of_vector.select("model", F.col("entry").alias("key")), ["model", "key"], "left_semi").select("model", F.col("key").alias("entry"), "v")
+    entries = stage(rows.join(of_vector.select("model", F.col("entry").alias("key")), ["model", "key"], "left_semi").select("model", F.col("key").alias("entry"), "v"), "knn-entries")
     trees, visits, placed = _index(entries, k, floor, dimensions)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,19 +289,20 @@ def neighbours(df: DataFrame, key: str, model: str, vector: str, k: int = 5, lea
                 models = batch.column(0).to_numpy(zero_copy_only=False)
                 for m in set(models.tolist()):
                     part = batch.take(pa.array(np.flatnonzero(models == m)))
-                    bins = trees[m].visits(_unit(matrix(part.column(2), dimensions[m])), visits[m])
-                    row, place = np.nonzero(bins >= 0)
-                    yield pa.RecordBatch.from_arrays([c.take(pa.array(row)) for c in part.columns[:3]] + [pa.array(bins[row, place])], names=["model", "entry", "v", "bin"])
+                    row, bins = trees[m].near_bins(_unit(matrix(part.column(2), dimensions[m])), *visits[m])
+                    lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(part) + 1)), pa.int32()), pa.array(bins))
+                    yield pa.RecordBatch.from_arrays([*part.columns[:3], lists], names=["model", "entry", "v", "bins"])
 
     # a bin with many members or visitors is cut into cells by hashes; there are no more bins than sampled vectors
     spread = lambda of, n: F.pmod(F.xxhash64("entry"), F.ceil(F.col(of) / n))
-    load = placed.groupBy("model", "bin").agg(F.count(F.lit(1)).alias("members"))
-    load = load.withColumn("visits", F.coalesce(*(F.when(F.col("model") == m, F.lit(n)) for m, n in visits.items()), F.lit(1)) * F.col("members"))
+    going = placed.select("model", "entry", "v").mapInArrow(visit, "model string, entry long, v array<float>, bins array<long>")
+    going = stage(going, "knn-visits").select("model", "entry", "v", F.explode("bins").alias("bin"))
+    callers = going.groupBy("model", "bin").agg(F.count(F.lit(1)).alias("visits"))
+    load = placed.groupBy("model", "bin").agg(F.count(F.lit(1)).alias("members")).join(callers, ["model", "bin"])
     load = stage(load, "knn-load")
     cells = F.explode(F.sequence(F.lit(0), F.ceil(F.col("members") / MEMBERS).cast("int") - 1))
     parts = F.explode(F.sequence(F.lit(0), F.ceil(F.col("visits") / VISITORS).cast("int") - 1))
     inside = placed.join(load, ["model", "bin"]).withColumn("x", spread("members", MEMBERS).cast("int")).withColumn("y", parts)
-    going = placed.drop("bin").mapInArrow(visit, "model string, entry long, v array<float>, bin long")
     going = going.join(load, ["model", "bin"]).withColumn("y", spread("visits", VISITORS).cast("int")).withColumn("x", cells)
 
     def meet(key_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:

@@ -248,8 +248,12 @@ def test_tree_visits_every_bin_once():
     points = rng.normal(size=(800, 5))
     tree = knn.fit_tree(points, 20)
     bins = np.flatnonzero(tree.count == 0)
-    order = tree.visits(points[:50], len(bins))
+    order, apart = tree.visits(points[:50], len(bins))
     assert all(sorted(row) == sorted(bins) for row in order.tolist())
-    few = tree.visits(points[:50], 4)
+    assert np.allclose(apart, ((tree.centroids[order] - points[:50, None]) ** 2).sum(2))
+    few = tree.visits(points[:50], 4)[0]
     assert (few == order[:, :4]).all()
     assert np.mean([b in row for b, row in zip(tree.bin_of(points[:50]), few)]) > 0.9
+    row, met = tree.near_bins(points[:50], 4, 1.2)
+    near = {(i, b) for i in range(50) for b, d in zip(few[i].tolist(), apart[i].tolist()) if d <= 1.44 * apart[i, 0]}
+    assert set(zip(row.tolist(), met.tolist())) == near and 50 <= len(near) < 200
