@@ -135,20 +135,32 @@ def fit_tree(points: np.ndarray, least: int) -> Tree:
     return Tree(np.array(centroids), np.array(first), np.array(count))
 
 
-def matrix(lists: pa.Array, dims: int) -> np.ndarray:
-    """The lists, all of ``dims`` values, as the rows of a matrix."""
-    return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims).astype(np.float64)
+def matrix(packed: pa.Array | pa.ChunkedArray, dims: int) -> np.ndarray:
+    """Packed vectors as the rows of a matrix."""
+    return np.frombuffer(b"".join(packed.to_pylist()), np.float32).reshape(-1, dims).astype(np.float64)
 
 
 def usable(df: DataFrame, key: str, model: str, vector: str, dimensions: dict[str, int]) -> DataFrame:
-    """(model, key, v) of the vectors that take part, cut or filled up with zeros to their model's length."""
-    size = F.coalesce(*(F.when(df[model] == m, F.lit(d)) for m, d in dimensions.items()))
-    v = F.slice(F.concat(df[vector], F.array_repeat(F.lit(0.0).cast("float"), size)), 1, size)
-    # NaN and infinities, times zero, are not zero
-    whole = F.forall("v", lambda x: (x * F.lit(0.0).cast("float") == F.lit(0.0).cast("float")) & x.isNotNull())
-    rows = df.where(df[key].isNotNull() & size.isNotNull() & (F.size(df[vector]) > 0)).select(df[model].alias("model"), df[key].cast("long").alias("key"), v.alias("v"))
-    rows = rows.where(whole & F.exists("v", lambda x: x != 0))
-    return rows.groupBy("model", "key").agg(F.max("v").alias("v"))
+    """(model, key, v) of the vectors that take part, cut or filled up with zeros to their model's length; ``v`` is their 32-bit values as bytes."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            models = batch.column(0).to_numpy(zero_copy_only=False)
+            for m in set(models.tolist()) & set(dimensions):
+                part = batch.take(pa.array(np.flatnonzero(models == m)))
+                d, own = dimensions[m], part.column(2)
+                sizes = np.diff(own.offsets.to_numpy())
+                flat = own.flatten().to_numpy(zero_copy_only=False).astype(np.float32)  # a null is no number
+                row = np.repeat(np.arange(len(part)), sizes)
+                at = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                values = np.zeros((len(part), d), np.float32)
+                values[row[at < d], at[at < d]] = flat[at < d]
+                kept = np.flatnonzero(np.isfinite(values).all(1) & values.any(1))
+                data = pa.array([v.tobytes() for v in values[kept]], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(part.column(i).take(pa.array(kept)) for i in (0, 1)), data], names=["model", "key", "v"])
+
+    rows = df.where(df[key].isNotNull() & df[model].isin(list(dimensions)) & (F.size(df[vector]) > 0)).select(df[model].alias("model"), df[key].cast("long").alias("key"), df[vector].cast("array<float>").alias("v"))
+    return rows.mapInArrow(pack, "model string, key long, v binary").groupBy("model", "key").agg(F.max("v").alias("v"))
 
 
 def _top(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -212,10 +224,10 @@ def _index(entries: DataFrame, k: int, least: int, dimensions: dict[str, int]) -
     asked: dict[str, pa.Table] = {}
     for m, n in sizes.items():
         drawn = entries.where(F.col("model") == m).orderBy(F.xxhash64("v", F.lit(1)), "entry").limit(min(SAMPLE, max(FEWEST, PER_BIN * n // bin_size(n)), n)).select("entry", "v").toArrow()
-        points = _unit(matrix(drawn["v"].combine_chunks(), dimensions[m]))
+        points = _unit(matrix(drawn["v"], dimensions[m]))
         trees[m] = fit_tree(points, max(1, bin_size(n) * len(points) // n))
         asked[m] = drawn.slice(0, QUERIES)
-    queries = {m: (matrix(t["v"].combine_chunks(), dimensions[m]), t["entry"].to_numpy()) for m, t in asked.items()}
+    queries = {m: (matrix(t["v"], dimensions[m]), t["entry"].to_numpy()) for m, t in asked.items()}
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,7 +237,7 @@ def _index(entries: DataFrame, k: int, least: int, dimensions: dict[str, int]) -
                 bins = trees[m].bin_of(_unit(matrix(part.column(2), dimensions[m])))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(bins)], names=["model", "entry", "v", "bin"])
 
-    placed = stage(entries.mapInArrow(place, "model string, entry long, v array<float>, bin long"), "knn-bins")
+    placed = stage(entries.mapInArrow(place, "model string, entry long, v binary, bin long"), "knn-bins")
 
     def truth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,7 +280,7 @@ def neighbours(df: DataFrame, key: str, model: str, vector: str, k: int = 5, lea
     The cosine is taken in double precision and rounded to 6 decimals; of equal ones the smaller key comes first.
     Null, empty and zero vectors, those that hold NaN, infinity or null, null keys and unknown models do not take
     part; vectors are cut or filled up with zeros to the model's length in ``dimensions``. Of several vectors of one
-    key and model, the greatest counts. Other columns are not read. Some true neighbours are missing: visits
+    key and model, that with the greatest bytes counts. Other columns are not read. Some true neighbours are missing: visits
     are widened until ``RECALL`` of those of a sample are found.
     """
     dimensions = dimensions or DIMENSIONS
@@ -295,7 +307,7 @@ def neighbours(df: DataFrame, key: str, model: str, vector: str, k: int = 5, lea
 
     # a bin with many members or visitors is cut into cells by hashes; there are no more bins than sampled vectors
     spread = lambda of, n: F.pmod(F.xxhash64("entry"), F.ceil(F.col(of) / n))
-    going = placed.select("model", "entry", "v").mapInArrow(visit, "model string, entry long, v array<float>, bins array<long>")
+    going = placed.select("model", "entry", "v").mapInArrow(visit, "model string, entry long, v binary, bins array<long>")
     going = stage(going, "knn-visits").select("model", "entry", "v", F.explode("bins").alias("bin"))
     callers = going.groupBy("model", "bin").agg(F.count(F.lit(1)).alias("visits"))
     load = placed.groupBy("model", "bin").agg(F.count(F.lit(1)).alias("members")).join(callers, ["model", "bin"])
@@ -311,7 +323,7 @@ def neighbours(df: DataFrame, key: str, model: str, vector: str, k: int = 5, lea
             return schema.empty_table()
         m = key_[0].as_py()
         right = right.sort_by("entry")
-        a, b = matrix(left["v"].combine_chunks(), dimensions[m]), matrix(right["v"].combine_chunks(), dimensions[m])
+        a, b = matrix(left["v"], dimensions[m]), matrix(right["v"], dimensions[m])
         own, other = left["entry"].to_numpy(), right["entry"].to_numpy()
         q, c, score = nearest(a, b, k + 1, floor)
         return pa.Table.from_arrays([pa.array([m] * len(q), pa.string()), pa.array(own[q]), pa.array(other[c]), pa.array(score)], schema=schema)
@@ -350,8 +362,8 @@ def recall(df: DataFrame, found: DataFrame, key: str, model: str, vector: str, k
         m = key_[0].as_py()
         b = b.sort_by("key")
         own, other, out = a["key"].to_numpy(), b["key"].to_numpy(), []
-        right_ = matrix(b["v"].combine_chunks(), dimensions[m])
-        left_ = matrix(a["v"].combine_chunks(), dimensions[m])
+        right_ = matrix(b["v"], dimensions[m])
+        left_ = matrix(a["v"], dimensions[m])
         for at in range(0, len(own), 512):
             scores = _cosines(left_[at : at + 512], right_)
             scores[own[at : at + 512][:, None] == other[None, :]] = -MILLION
