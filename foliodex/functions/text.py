@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import mimetypes
 import unicodedata
 
 from pyspark.sql import Column
@@ -104,6 +105,26 @@ def media_type(suffix: Column) -> Column:
     return F.when(s.isin(AUDIO), "audio").when(s.isin(VIDEO), "video").when(s.isin(IMAGE), "image")
 
 
+#: Kinds of content that have no entry in Python's table.
+OTHER_TYPES = {".md": "text/markdown", ".heic": "image/heic", ".webp": "image/webp", ".epub": "application/epub+zip", ".flac": "audio/flac", ".ogg": "audio/ogg", ".m4a": "audio/mp4"}
+
+
+def mime_types() -> dict[str, str]:
+    """The kind of content of each extension that can be read or is of a known medium."""
+    return {e: OTHER_TYPES.get(e) or mimetypes.types_map[e] for e in sorted({*SUPPORTED, *AUDIO, *VIDEO, *IMAGE}) if e in OTHER_TYPES or e in mimetypes.types_map}
+
+
+def mime_type(suffix: Column) -> Column:
+    """The kind of content by extension, whatever its case; null of others."""
+    table = F.create_map(*(F.lit(x) for pair in mime_types().items() for x in pair))
+    return F.try_element_at(table, F.lower(suffix))
+
+
+def split_keywords(listed: Column) -> Column:
+    """Keywords written in one string, parted by commas or two bars, trimmed and without blanks; null of null."""
+    return F.filter(F.transform(F.split(listed, r",|\|\|"), strip), lambda k: k != "")
+
+
 def is_supported(suffix: Column) -> Column:
     return F.coalesce(F.lower(suffix).isin(SUPPORTED), F.lit(False))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,13 +31,16 @@ def local_session(app: str = "foliodex", cores: str | int = "*", **conf: str) ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it in ``spark.checkpoint.dir``.
 
-    Where the setting is missing (a local session in a test), a folder of this process is made and set.
+    Where the setting is missing in a local session (a test), a folder of this process is made and set; on a cluster that is an error, as
+    each executor would write to a disk of its own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = kept.get() if kept.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -44,6 +49,16 @@ def shared_dir(spark: SparkSession) -> str:
 _staged: list[str] = []
 
 
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """What is staged inside is deleted at the end: results must have been written or collected by then."""
+    before = len(_staged)
+    try:
+        yield
+    finally:
+        _drop(spark, before)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -56,10 +71,14 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(spark: SparkSession) -> int:
-    """Delete what ``stage`` has written in this process, and say how many tables; frames that read them no longer work."""
+def _drop(spark: SparkSession, keep: int) -> int:
     gone = 0
-    while _staged:
+    while len(_staged) > keep:
         path = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop())
         gone += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
     return gone
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Delete what ``stage`` has written in this process, and say how many tables; frames that read them no longer work."""
+    return _drop(spark, 0)

@@ -5,13 +5,14 @@ from __future__ import annotations
 import html
 import os
 import re
+import struct
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliodex.functions.text import extension, file_name, media_type
+from foliodex.functions.text import IMAGE, IMAGE_WORDS, extension, file_name
 from foliodex.session import stage
 
 #: Bytes above which no file is read.
@@ -20,12 +21,18 @@ LARGEST = 50 * 1024 * 1024
 Extract = Callable[[str, bytes], str | None]
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a file or folder, on the file system that Spark would read it from."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
+
+
 def scan(spark: SparkSession, root: str, pattern: str | None = None, content: bool = False) -> DataFrame:
     """file_path, filename, extension, file_size, modified of all files below ``root`` or of that one file; with ``content``, their bytes.
 
     Spark's file listing leaves out names that begin with a dot or an underscore; ``walk`` has these too. A root that does not exist gives no rows. Without ``content`` no file is opened.
     """
-    if "://" not in root and not os.path.exists(root):
+    if not exists(spark, root):
         kinds = "file_path string, filename string, extension string, file_size long, modified timestamp" + (", content binary" if content else "")
         return spark.createDataFrame([], kinds)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
@@ -72,6 +79,37 @@ def walk(spark: SparkSession, root: str) -> DataFrame:
     return files.select("file_path", file_name(F.col("file_path")).alias("filename"), extension(F.col("file_path")).alias("extension"), "file_size", "modified")
 
 
+def read_files(paths: DataFrame) -> DataFrame:
+    """file_path, found, file_size, created, modified, accessed, content of paths every executor can reach, each read in the task that holds it.
+
+    ``content`` is null of files over ``LARGEST`` bytes, which are not opened; of paths that are gone or no files, ``found`` is false and all else null.
+    """
+    kind = "file_path string, found boolean, file_size long, created timestamp, modified timestamp, accessed timestamp, content binary"
+    columns = ["file_path", "found", "file_size", "created", "modified", "accessed", "content"]
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for at in range(0, len(rows), 64):  # few at a time: contents may be large
+                out = []
+                for path in rows["file_path"].iloc[at : at + 64]:
+                    local = path.removeprefix("file://")
+                    try:
+                        s = os.stat(local)
+                        data = None
+                        if s.st_size <= LARGEST:
+                            with open(local, "rb") as f:
+                                data = f.read()
+                        out.append((path, True, s.st_size, *(pd.Timestamp(t, unit="ns", tz="UTC").floor("us") for t in (s.st_ctime_ns, s.st_mtime_ns, s.st_atime_ns)), data))
+                    except OSError:
+                        out.append((path, False, None, pd.NaT, pd.NaT, pd.NaT, None))
+                found = pd.DataFrame(out, columns=columns).astype({"file_size": "Int64"})
+                for c in ("created", "modified", "accessed"):
+                    found[c] = pd.to_datetime(found[c], utc=True)
+                yield found
+
+    return paths.select("file_path").mapInPandas(read, kind)
+
+
 def stat_rows(paths: DataFrame) -> DataFrame:
     """file_path (links resolved), created, accessed of paths every executor can reach; null times of paths that are gone."""
 
@@ -111,6 +149,49 @@ def plain_extractor(name: str, data: bytes) -> str | None:
     return None
 
 
+def image_size(data: bytes) -> tuple[str, int, int] | None:
+    """Kind, width and height of an image by the first bytes of its file; None of what is no PNG, GIF, BMP or JPEG."""
+    if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 24:
+        return "PNG", *struct.unpack(">II", data[16:24])
+    if data[:4] == b"GIF8" and len(data) >= 10:
+        return "GIF", *struct.unpack("<HH", data[6:10])
+    if data[:2] == b"BM" and len(data) >= 26:
+        width, height = struct.unpack("<ii", data[18:26])
+        return "BMP", width, abs(height)
+    at = 2
+    while data[:2] == b"\xff\xd8" and at + 9 <= len(data):
+        size = int.from_bytes(data[at + 2 : at + 4], "big")
+        if data[at + 1] in (*range(0xC0, 0xC4), *range(0xC5, 0xC8), *range(0xC9, 0xCC), *range(0xCD, 0xD0)):  # a start of frame
+            height, width = struct.unpack(">HH", data[at + 5 : at + 9])
+            return "JPEG", width, height
+        at += 2 + max(size, 2)
+    return None
+
+
+def image_extractor(name: str, data: bytes) -> str | None:
+    """What can be said of an image without a model: its name, size and kind; None of files that are no images by name."""
+    if os.path.splitext(name)[1].lower() not in IMAGE:
+        return None
+    label, of_pixels, of_bytes = IMAGE_WORDS
+    found = image_size(data)
+    if found is None:
+        return label + name
+    kind, width, height = found
+    return label + name + of_pixels % (width, height, "unknown") + of_bytes % (len(data), kind)
+
+
+#: Extractors by name, and their order by strategy.
+EXTRACTORS: dict[str, Extract] = {"plain": plain_extractor, "image": image_extractor}
+STRATEGIES = {"plain_first": ["plain", "image"], "image_first": ["image", "plain"], "plain_only": ["plain"]}
+
+
+def by_strategy(strategy: str) -> list[tuple[str, Extract]]:
+    """The extractors of a strategy, in order."""
+    if strategy not in STRATEGIES:
+        raise ValueError(f"no such strategy: {strategy}")
+    return [(name, EXTRACTORS[name]) for name in STRATEGIES[strategy]]
+
+
 def extracted(files: DataFrame, extractors: Sequence[tuple[str, Extract]] = (("plain", plain_extractor),), least: int = 10) -> DataFrame:
     """``files`` (with filename, file_size and content) with ``text``, ``extraction_method`` and ``error`` instead of the bytes.
 
@@ -125,6 +206,8 @@ def extracted(files: DataFrame, extractors: Sequence[tuple[str, Extract]] = (("p
                 text = method = error = None
                 if size > LARGEST:
                     error = "too large"
+                elif data is None:
+                    error = "cannot be read"
                 else:
                     for label, extract in extractors:
                         try:
@@ -145,11 +228,6 @@ def extracted(files: DataFrame, extractors: Sequence[tuple[str, Extract]] = (("p
     return files.select(*(f.name for f in kept), "content").mapInPandas(read, schema)
 
 
-def by_media(files: DataFrame) -> DataFrame:
-    """``files`` with ``media``: audio, video, image or null, by extension."""
-    return files.withColumn("media", media_type(F.col("extension")))
-
-
 def images(spark: SparkSession, root: str) -> DataFrame:
     """file_path, width, height, channels of the images below ``root`` or of that one; null sizes of what cannot be read."""
     rows = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "false").load(root).select("image.*")
