@@ -294,10 +294,7 @@ class FileIndex:
 
     def page(self, page: int = 1, per_page: int = 50, extension: str | None = None) -> DataFrame:
         """A page of files by id, of one extension or all."""
-        rows = views.responses(self.table("files"))
-        if extension:
-            rows = rows.where(F.lower("extension") == extension.lower())
-        return rows.orderBy("id").offset((page - 1) * per_page).limit(per_page)
+        return views.page(self.table("files"), page, per_page, extension)
 
     def find(self, condition: Column) -> DataFrame:
         """Files that meet a condition, as by path, id or content hash."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliodex.functions.text import n_tokens, phrase_count, token_line, under
 from foliodex.functions.vectors import distance_to
+from foliodex.session import stage
 
 #: The BM25 constants and the floor of a term's weight; how many more rows than asked each side of a hybrid search brings.
 K1, B, FLOOR = 1.2, 0.75, 1e-6
@@ -31,9 +32,9 @@ def bm25(index: DataFrame, phrase: str, limit: int | None = 20, directory: str |
     """id, file_path, score of the rows that hold the phrase within one column, best first; ties by id.
 
     Corpus figures are those of the whole index; ``directory`` only narrows the result, before ``limit``. A phrase
-    without tokens has no result.
+    without tokens has no result. The index is gone through once: each row's counts are kept in a table of their own.
     """
-    counted = index.select("id", "file_path", "dl", sum((phrase_count(F.col(f"line_{c}"), phrase) for c in SEARCHED), F.lit(0)).alias("f"))
+    counted = stage(index.select("id", "file_path", "dl", sum((phrase_count(F.col(f"line_{c}"), phrase) for c in SEARCHED), F.lit(0)).alias("f")), "bm25-counts")
     corpus = counted.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("f") > 0).alias("df"), F.avg("dl").alias("avgdl"))
     hits = counted.where("f > 0")
     if directory:
@@ -47,45 +48,43 @@ def _weight() -> Column:
     return F.when(idf > 0, idf).otherwise(FLOOR) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
 
 
-def _grams(index: DataFrame, n: int) -> DataFrame:
-    """id, dl, column, at, gram: every token (``n`` 1) or pair of neighbouring tokens (2) of the searched columns."""
-    parts = None
-    for c in SEARCHED:
-        tokens = F.split(F.trim(F.col(f"line_{c}")), " ")
-        grams = tokens if n == 1 else _pairs(tokens)
-        part = index.select("id", "dl", F.lit(c).alias("column"), F.posexplode(grams).alias("at", "gram"))
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
-
-
 def _pairs(tokens: Column) -> Column:
     zipped = F.arrays_zip(tokens.alias("a"), F.slice(tokens, 2, 1 << 30).alias("b"))
     return F.transform(F.filter(zipped, lambda x: x["b"].isNotNull()), lambda x: F.concat_ws(" ", x["a"], x["b"]))
 
 
+def _grams(index: DataFrame, n: int) -> DataFrame:
+    """id, dl, column, at, gram: every token (``n`` 1) or pair of neighbouring tokens (2) of (id, dl, lines), columns by number; in one pass."""
+    one = lambda line, c: F.transform(F.split(F.trim(line), " ") if n == 1 else _pairs(F.split(F.trim(line), " ")), lambda g, at: F.struct(c.alias("column"), at.alias("at"), g.alias("gram")))
+    return index.select("id", "dl", F.explode(F.flatten(F.transform("lines", one))).alias("x")).select("id", "dl", "x.*")
+
+
 def bm25_batch(index: DataFrame, phrases: DataFrame, limit: int = 20) -> DataFrame:
     """query_id, id, score, place of the best rows for each of many phrases (query_id, phrase) of any length; those without tokens have none.
 
     Tokens and pairs of neighbouring tokens meet in an equi-join, so no query scans all texts; a longer phrase meets by
-    its rarest pair and is compared as a whole where that stands. Equal phrases are scored once.
+    its rarest pair and is compared as a whole where that stands. Equal phrases are scored once. The index is made once and kept.
     """
-    asked = phrases.select("query_id", F.trim(token_line(F.col("phrase"))).alias("phrase")).where("phrase <> ''")
+    index = stage(index.select("id", "dl", F.array(*(f"line_{c}" for c in SEARCHED)).alias("lines")), "bm25-index")
+    asked = stage(phrases.select("query_id", F.trim(token_line(F.col("phrase"))).alias("phrase")).where("phrase <> ''"), "bm25-asked")
     words = F.split("phrase", " ")
     sought = asked.select("phrase").distinct()
-    lengths = {r["n"] for r in sought.select(F.least(F.size(words), F.lit(3)).alias("n")).distinct().collect()}
+    lengths = {r["n"] for r in sought.select(F.least(F.size(words), F.lit(3)).alias("n")).distinct().collect()}  # at most three
     parts = [_grams(index, n).withColumnRenamed("gram", "phrase").join(sought.where(F.size(words) == n), "phrase").select("phrase", "id", "dl") for n in (1, 2) if n in lengths]
     if 3 in lengths or not parts:
-        seen = _grams(index, 2).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
         own = sought.where(F.size(words) > 2).select("phrase", F.posexplode(_pairs(words)).alias("offset", "gram"))
-        rarest = own.join(seen, "gram", "left").groupBy("phrase").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "offset", "gram")).alias("x")).select("phrase", "x.offset", "x.gram")
-        hits = _grams(index, 2).join(rarest, "gram").where("at >= offset").select("id", "column", "phrase", (F.col("at") - F.col("offset") + 1).alias("start"))
-        lines = index.select("id", "dl", F.explode(F.create_map(*(x for c in SEARCHED for x in (F.lit(c), F.col(f"line_{c}"))))).alias("column", "line"))
-        whole = F.slice(F.split(F.trim("line"), " "), F.col("start"), F.size(words)) == words
-        parts.append(hits.join(lines, ["id", "column"]).where(whole).select("phrase", "id", "dl"))
+        # only where pairs of some phrase stand; how often each does says which is the rarest
+        met = stage(_grams(index, 2).join(own.select("gram").distinct(), "gram", "left_semi").select("id", "column", "at", "gram"), "bm25-pairs")
+        seen = met.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+        rarest = own.join(seen, "gram").groupBy("phrase").agg(F.min(F.struct("n", "offset", "gram")).alias("x"), F.count(F.lit(1)).alias("pairs"))
+        rarest = rarest.where(F.col("pairs") == F.size(words) - 1).select("phrase", "x.offset", "x.gram")  # a phrase with a pair that stands nowhere is nowhere
+        hits = met.join(rarest, "gram").where("at >= offset").select("id", "column", "phrase", (F.col("at") - F.col("offset") + 1).alias("start"))
+        whole = F.slice(F.split(F.trim(F.get("lines", F.col("column"))), " "), F.col("start"), F.size(words)) == words
+        parts.append(hits.join(index, "id").where(whole).select("phrase", "id", "dl"))
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
-    counts = found.groupBy("phrase", "id", "dl").agg(F.count(F.lit(1)).alias("f"))
+    counts = stage(found.groupBy("phrase", "id", "dl").agg(F.count(F.lit(1)).alias("f")), "bm25-hits")
     of_phrase = counts.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
     corpus = index.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     scored = counts.join(of_phrase, "phrase").crossJoin(F.broadcast(corpus)).select("phrase", "id", F.round(_weight(), 6).alias("score"))
@@ -145,6 +144,11 @@ def similar_to(vectors: DataFrame, file_id: int, query: list[float], limit: int
     return near.withColumn("score", F.round(F.greatest(F.lit(0.0), 1 - F.col("distance")), 6)).orderBy("distance", "id").limit(limit)
 
 
+def as_json(results: DataFrame) -> DataFrame:
+    """``json``: each search result as the object a client gets."""
+    return results.select(F.to_json(F.struct("id", "file_path", "semantic_score", "keyword_score", "combined_score", "match_type"), {"ignoreNullFields": "false"}).alias("json"))
+
+
 def single_score(distance: Column, keyword: Column) -> Column:
     """One score of a result: seven tenths closeness and three tenths keyword score where it has both, else the one it has."""
     close = F.when(distance.isNotNull(), F.greatest(F.lit(0.0), 1 - distance))

@@ -67,6 +67,11 @@ def decisions(scan: DataFrame, saved: DataFrame, retry_failed: bool = False) ->
     return scan.join(old, "id", "left").select("id", "file_path", decision.alias("decision"))
 
 
+def counted(decided: DataFrame) -> DataFrame:
+    """(decision, files): the counters of a run."""
+    return decided.groupBy("decision").agg(F.count(F.lit(1)).alias("files"))
+
+
 def snapshot_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """file_path, ``change`` (created, modified, deleted, moved) and ``moved_from`` between two scans (file_path, content_hash, modified).
 

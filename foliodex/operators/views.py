@@ -70,6 +70,19 @@ def session_stats(sessions: DataFrame) -> DataFrame:
     )
 
 
+def page(files: DataFrame, number: int = 1, per_page: int = 50, suffix: str | None = None) -> DataFrame:
+    """A page of files by id, of one extension or all; pages count from 1."""
+    rows = responses(files)
+    if suffix:
+        rows = rows.where(F.lower("extension") == suffix.lower())
+    return rows.orderBy("id").offset((number - 1) * per_page).limit(per_page)
+
+
+def too_large(files: DataFrame, most: int) -> DataFrame:
+    """Files of more than so many bytes, with that error."""
+    return files.where(F.col("file_size") > most).withColumn("error", F.lit("too large"))
+
+
 def hash_groups(contents: DataFrame, least: int = 2) -> DataFrame:
     """Hashes of contents, computed anew, that several files share."""
     hashed = contents.where("content is not null").select(F.sha2("content", 256).alias("sha256"), "file_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,11 +12,13 @@ from foliodex.functions import text, vectors
 from foliodex.operators import chunks, models, search, state, views, watch
 from foliodex.plans.batch import knn_batch
 from foliodex.plans.oracles import ORACLES
+from foliodex.session import stage
 from foliodex.streaming import events, updates
 from foliodex.tables import current_contents, current_files, load, newest
 
-MODEL, DIMS = "local-small-64", 64
-TERM, PHRASE, DIRECTORY, SINCE = "regional", "every report", "/data/share", "2022-01-01"
+#: The lengths of the vectors of each model.
+MODELS = {"local-small-64": 64, "online-mid-96": 96}
+TERM, PHRASE, DIRECTORY, SINCE = "regional", "every report", "/data/share", "2023-01-15"
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,18 +33,30 @@ def _keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "file_keywords").where("file_id is not null and keyword is not null").distinct()
 
 
-def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, file_path, embedding of the current files that have a usable vector of the first model, cut or filled to its length."""
-    rows = load(spark, sf_dir, "file_embeddings").where(F.col("embedding_model") == MODEL).select("file_id", vectors.fitted(F.col("embedding"), DIMS).alias("embedding"))
+def _vectors(spark: SparkSession, sf_dir: str, model: str, files: DataFrame | None = None) -> DataFrame:
+    """id, file_path, embedding of the current files that have a usable vector of the model, cut or filled to its length."""
+    rows = load(spark, sf_dir, "file_embeddings").where(F.col("embedding_model") == model).select("file_id", vectors.fitted(F.col("embedding"), MODELS[model]).alias("embedding"))
     rows = rows.where(vectors.usable(F.col("embedding"))).groupBy("file_id").agg(F.max("embedding").alias("embedding"))
-    files = current_files(spark, sf_dir, "file_path").select("id", "file_path")
+    files = (current_files(spark, sf_dir, "file_path") if files is None else files).select("id", "file_path")
     return files.join(rows, files["id"] == rows["file_id"]).select("id", "file_path", "embedding")
 
 
-def _first(rows: DataFrame) -> tuple[int, list[float]]:
-    """The smallest id and its vector: the query of the single searches."""
-    found = rows.agg(F.min_by(F.struct("id", "embedding"), "id").alias("x")).first()["x"]
-    return (found["id"], found["embedding"]) if found else (-1, [1.0] + [0.0] * (DIMS - 1))
+def _each_model(spark: SparkSession, sf_dir: str, ask: Callable[[DataFrame, int, list[float]], DataFrame], files: DataFrame | None = None) -> DataFrame:
+    """What ``ask`` finds among the vectors of each model, for the vector of the smallest id, with the model's name."""
+    found = []
+    for model, dims in MODELS.items():
+        rows = stage(_vectors(spark, sf_dir, model, files), "vectors")
+        own = rows.orderBy("id").select("id", "embedding").first()
+        first, vector = (own["id"], own["embedding"]) if own else (-1, [1.0] + [0.0] * (dims - 1))
+        found.append(ask(rows, first, vector).withColumn("embedding_model", F.lit(model)))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _hybrid(spark: SparkSession, sf_dir: str, limit: int, directory: str | None = None, weights: tuple[float, float] = (0.5, 0.5)) -> DataFrame:
+    """Hybrid searches with each model; files are brought to current rows, and words counted, once for all."""
+    files = stage(current_files(spark, sf_dir, "file_path", "title", "summary"), "files")
+    words = stage(search.bm25(search.text_index(files, _keywords(spark, sf_dir)), TERM, limit * search.MORE_WORDS, directory), "words")
+    return _each_model(spark, sf_dir, lambda rows, _, vector: search.merged(search.knn(rows, vector, limit * search.MORE_VECTORS, 2.0, directory), words, limit, *weights), files)
 
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +98,33 @@ def files_by_hash(spark, sf_dir):
     return files.join(held, "id").select("id", "sha256", F.coalesce(F.col("recorded") == F.col("sha256"), F.lit(False)).alias("agrees"))
 
 
+@query
+def file_types(spark, sf_dir):
+    """The kind of content of every file by its extension, beside the one recorded."""
+    rows = current_files(spark, sf_dir, "extension", "content_type")
+    return rows.select("id", text.mime_type(F.col("extension")).alias("by_extension"), "content_type")
+
+
+@query
+def files_page(spark, sf_dir):
+    """The second page of thirty Markdown files."""
+    rows = views.page(current_files(spark, sf_dir, "filename", "extension", "file_path", "created", "modified", "title", "summary"), 2, 30, ".md")
+    return rows.select("id", "filename", "extension", "title")
+
+
+@query
+def size_errors(spark, sf_dir):
+    """Files over a size of 100,000 bytes, which are not read."""
+    return views.too_large(current_files(spark, sf_dir, "file_path", "file_size"), 100_000).select("id", "file_path", "file_size", "error")
+
+
+@query
+def checked_statuses(spark, sf_dir):
+    """Files by status, after a check that no other status is there."""
+    rows = views.checked(current_files(spark, sf_dir, "status"), "status", ["DISCOVERED", "PARSED", "SUMMARIZED", "COMPLETE", "FAILED"])
+    return rows.groupBy("status").agg(F.count(F.lit(1)).alias("files"))
+
+
 @query
 def dir_scope(spark, sf_dir):
     return current_files(spark, sf_dir, "file_path", "file_size").where(text.under(F.col("file_path"), DIRECTORY)).select("id", "file_path", "file_size")
@@ -192,6 +234,21 @@ def chunk_coverage(spark, sf_dir):
     return marked.groupBy("file_id").agg(F.max("end").alias("chars"), F.sum(F.col("end") - F.col("start")).alias("covered"), F.count_if("gap").alias("gaps"), F.count_if((F.col("tokens") > 512) | (F.char_length("chunk") != F.col("end") - F.col("overlap_start"))).alias("over_limit"))
 
 
+@query
+def keyword_strings(spark, sf_dir):
+    """Keywords of each file written in one string, every other one after two bars, and read back."""
+    listed = _keywords(spark, sf_dir).where(~F.col("keyword").rlike(r"[,|]")).groupBy("file_id").agg(F.array_sort(F.collect_set("keyword")).alias("k"))
+    written = F.aggregate("k", F.lit(""), lambda done, k: F.concat(done, F.when(F.length(done) % 2 == 0, " || ").otherwise(" , "), k))
+    return listed.select("file_id", F.array_join(text.split_keywords(written), "|").alias("keywords"))
+
+
+@query
+def embedded_documents(spark, sf_dir):
+    """Every document through the embedder slot: the length of its vector, null of blank texts, which are not sent."""
+    found = models.embedded(load(spark, sf_dir, "documents").select("doc_id", "text"), "text", [models.hashed_embedding], 64)
+    return found.select("doc_id", F.size("embedding").alias("dimensions"))
+
+
 @query
 def extracted_keywords(spark, sf_dir):
     """The most frequent words of every document."""
@@ -234,40 +291,34 @@ def pad_truncate(spark, sf_dir):
 
 @query
 def knn_l2(spark, sf_dir):
-    rows = _vectors(spark, sf_dir)
-    return search.knn(rows, _first(rows)[1], 40)
+    return _each_model(spark, sf_dir, lambda rows, _, vector: search.knn(rows, vector, 40))
 
 
 @query
 def knn_threshold(spark, sf_dir):
-    rows = _vectors(spark, sf_dir)
-    return search.knn(rows, _first(rows)[1], 200, threshold=1.0)
+    return _each_model(spark, sf_dir, lambda rows, _, vector: search.knn(rows, vector, 200, threshold=1.0))
 
 
 @query
 def knn_dir_postfilter(spark, sf_dir):
-    rows = _vectors(spark, sf_dir)
-    return search.knn(rows, _first(rows)[1], 200, directory=DIRECTORY)
+    return _each_model(spark, sf_dir, lambda rows, _, vector: search.knn(rows, vector, 200, directory=DIRECTORY))
 
 
 @query
 def knn_dir_prefilter(spark, sf_dir):
-    rows = _vectors(spark, sf_dir)
-    return search.knn(rows, _first(rows)[1], 50, directory=DIRECTORY, prefilter=True)
+    return _each_model(spark, sf_dir, lambda rows, _, vector: search.knn(rows, vector, 50, directory=DIRECTORY, prefilter=True))
 
 
 @query
 def similar_to_file(spark, sf_dir):
-    rows = _vectors(spark, sf_dir)
-    first, vector = _first(rows)
-    return search.similar_to(rows, first, vector, 10, threshold=1.2).select("id", "file_path", "distance", "score")
+    return _each_model(spark, sf_dir, lambda rows, first, vector: search.similar_to(rows, first, vector, 10, threshold=1.2).select("id", "file_path", "distance", "score"))
 
 
 @query
 def knn_all_hundredths(spark, sf_dir):
     """The ten nearest files of every file whose id is divisible by 100, against all, in blocks."""
-    rows = _vectors(spark, sf_dir).select("id", "embedding")
-    return knn_batch(rows, F.col("id") % 100 == 0, 10)
+    found = [knn_batch(stage(_vectors(spark, sf_dir, m).select("id", "embedding"), "vectors"), F.col("id") % 100 == 0, 10).withColumn("embedding_model", F.lit(m)) for m in MODELS]
+    return reduce(DataFrame.unionByName, found)
 
 
 # keyword and hybrid search
@@ -305,20 +356,31 @@ def bm25_whole_title_batch(spark, sf_dir):
 
 @query
 def hybrid_search(spark, sf_dir):
-    rows = _vectors(spark, sf_dir)
-    return search.hybrid(_index(spark, sf_dir), rows, TERM, _first(rows)[1])
+    return _hybrid(spark, sf_dir, 20)
+
+
+@query
+def hybrid_json(spark, sf_dir):
+    """The results of the hybrid search as objects, read back."""
+    told = search.as_json(_hybrid(spark, sf_dir, 20))
+    return told.select(F.from_json("json", "id LONG, file_path STRING, combined_score DOUBLE, match_type STRING").alias("x")).select("x.*")
+
+
+@query
+def single_scores(spark, sf_dir):
+    """Results of the hybrid search by the one score of a result."""
+    rows = _hybrid(spark, sf_dir, 50)
+    return rows.select("id", "embedding_model", F.round(search.single_score(F.col("semantic_score"), F.col("keyword_score")), 6).alias("score"))
 
 
 @query
 def hybrid_weighted(spark, sf_dir):
-    rows = _vectors(spark, sf_dir)
-    return search.hybrid(_index(spark, sf_dir), rows, TERM, _first(rows)[1], 50, weights=(0.7, 0.3))
+    return _hybrid(spark, sf_dir, 50, weights=(0.7, 0.3))
 
 
 @query
 def hybrid_dir(spark, sf_dir):
-    rows = _vectors(spark, sf_dir)
-    return search.hybrid(_index(spark, sf_dir), rows, TERM, _first(rows)[1], 20, directory=DIRECTORY)
+    return _hybrid(spark, sf_dir, 20, DIRECTORY)
 
 
 @query
@@ -333,7 +395,7 @@ def keyword_any(spark, sf_dir):
 
 @query
 def keyword_all(spark, sf_dir):
-    return search.keyword_search(current_files(spark, sf_dir, "file_path"), _keywords(spark, sf_dir), ["report", "summary"], match_all=True)
+    return search.keyword_search(current_files(spark, sf_dir, "file_path"), _keywords(spark, sf_dir), ["bibliothèque", "certificat"], match_all=True)
 
 
 # state
@@ -376,6 +438,23 @@ def scan_decisions(spark, sf_dir):
     return state.decisions(newest(rows, "id", "updated_at"), oldest)
 
 
+@query
+def pipeline_counters(spark, sf_dir):
+    """How many files a scan processes, skips and leaves."""
+    return state.counted(scan_decisions(spark, sf_dir))
+
+
+@query
+def snapshot_changes(spark, sf_dir):
+    """What is created, modified, deleted and moved between the files as they were at first and the current ones that an event names."""
+    rows = load(spark, sf_dir, "files").select("id", "file_path", "content_hash", "modified", "updated_at")
+    seen = load(spark, sf_dir, "fs_events").select(F.coalesce("dest_path", "src_path").alias("file_path")).distinct()
+    first = rows.groupBy("id").agg(F.min_by(F.struct("file_path", "content_hash", "modified"), "updated_at").alias("x")).select("x.*")
+    shown = newest(rows, "id", "updated_at").join(seen, "file_path", "left_semi").select("file_path", "content_hash", "modified")
+    moved = shown.withColumn("file_path", F.when(F.col("file_path").endswith(".pdf"), F.concat("file_path", F.lit(".old"))).otherwise(F.col("file_path")))
+    return state.snapshot_changes(first, moved)
+
+
 @query
 def touched_files(spark, sf_dir):
     """Days of the last update, after all files that an event names are touched."""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from foliodex.functions.text import AUDIO, IMAGE, SUPPORTED, VIDEO
+from collections.abc import Callable
+
+from foliodex.functions.text import AUDIO, IMAGE, SUPPORTED, VIDEO, mime_types
 
 FILES = "f AS (SELECT * FROM (SELECT DISTINCT * FROM files) QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) = 1)"
 CONTENTS = """c AS (SELECT * FROM (SELECT DISTINCT * FROM file_contents)
@@ -18,14 +20,20 @@ def _in(values: list[str]) -> str:
     return "(" + ", ".join(f"'{v}'" for v in values) + ")"
 
 
-VECTORS = f"""v0 AS (SELECT file_id, embedding[1:64] AS e FROM file_embeddings WHERE embedding_model = 'local-small-64' AND len(embedding) > 0),
-v1 AS (SELECT file_id, list_concat(e, list_transform(range(64 - len(e)), lambda x: 0::FLOAT)) AS e FROM v0),
+def _vectors(model: str, dims: int) -> str:
+    return f"""v0 AS (SELECT file_id, embedding[1:{dims}] AS e FROM file_embeddings WHERE embedding_model = '{model}' AND len(embedding) > 0),
+v1 AS (SELECT file_id, list_concat(e, list_transform(range({dims} - len(e)), lambda x: 0::FLOAT)) AS e FROM v0),
 v AS (SELECT f.id, f.file_path, max(e)::DOUBLE[] AS e FROM v1 JOIN f ON f.id = v1.file_id
   WHERE len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0 GROUP BY ALL),
 q AS (SELECT id AS qid, e AS qe FROM v ORDER BY id LIMIT 1),
 d AS (SELECT id, file_path, round(list_distance(e, qe), 6) AS distance FROM v, q)"""
 
 
+def _models(make: Callable[[str], str]) -> str:
+    """The rows of what ``make`` says of the vectors of each model."""
+    return " UNION ALL ".join(f"SELECT *, '{m}' AS embedding_model FROM ({make(_vectors(m, d))})" for m, d in (("local-small-64", 64), ("online-mid-96", 96)))
+
+
 def _tokens(column: str) -> str:
     return f"list_filter(regexp_split_to_array(strip_accents(lower(coalesce({column}, ''))), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 
@@ -48,14 +56,14 @@ def _under(path: str, directory: str = "/data/share") -> str:
 
 
 def _hybrid(limit: int, a: float, b: float, where: str = "true") -> str:
-    return f"""WITH {FILES}, {KEYWORDS}, {LISTED}, {VECTORS}, {_bm25(['regional'])},
+    return _models(lambda vectors: f"""WITH {FILES}, {KEYWORDS}, {LISTED}, {vectors}, {_bm25(['regional'])},
 s AS (SELECT * FROM (SELECT * FROM d ORDER BY distance, id LIMIT {2 * limit}) WHERE distance <= 2.0 AND {where}),
 w AS (SELECT * FROM b WHERE {where} ORDER BY score DESC, id LIMIT {4 * limit}),
 m AS (SELECT coalesce(s.id, w.id) AS id, coalesce(s.file_path, w.file_path) AS file_path, s.distance AS semantic_score, w.score AS keyword_score,
   coalesce(exp(-s.distance) * {a}, 0) AS x, coalesce(w.score * {b}, 0) AS y FROM s FULL OUTER JOIN w ON s.id = w.id)
 SELECT id, file_path, semantic_score, keyword_score, round(x + y, 6) AS combined_score,
   CASE WHEN x > 0 AND y > 0 THEN 'hybrid' WHEN y > 0 THEN 'keyword' WHEN x > 0 THEN 'semantic' ELSE 'none' END AS match_type
-FROM m ORDER BY combined_score DESC, id LIMIT {limit}"""
+FROM m ORDER BY combined_score DESC, id LIMIT {limit}""")
 
 
 CLEAN = """e AS (SELECT DISTINCT seq, lower(trim(kind)) AS kind, src_path, dest_path FROM fs_events
@@ -76,6 +84,10 @@ SELECT id, name, suffix, CASE WHEN lower(suffix) IN {_in(AUDIO)} THEN 'audio' WH
     "files_by_event_path": f"WITH {FILES} SELECT id, file_path, status FROM f WHERE file_path IN (SELECT src_path FROM fs_events WHERE src_path IS NOT NULL)",
     "content_hash_dupes": f"WITH {CONTENTS} SELECT sha256(content) AS sha256, count(*) AS files, min(file_id) AS first_file FROM c WHERE content IS NOT NULL GROUP BY 1 HAVING count(*) >= 2",
     "files_by_hash": f"WITH {FILES}, {CONTENTS} SELECT f.id, sha256(content) AS sha256, coalesce(lower(trim(f.content_hash)) = sha256(content), false) AS agrees FROM f JOIN c ON c.file_id = f.id WHERE content IS NOT NULL",
+    "file_types": f"WITH {FILES} SELECT id, CASE lower(extension) {' '.join(f"WHEN '{e}' THEN '{t}'" for e, t in mime_types().items())} END AS by_extension, content_type FROM f",
+    "files_page": f"WITH {FILES} SELECT id, filename, extension, title FROM f WHERE lower(extension) = '.md' ORDER BY id LIMIT 30 OFFSET 30",
+    "size_errors": f"WITH {FILES} SELECT id, file_path, file_size, 'too large' AS error FROM f WHERE file_size > 100000",
+    "checked_statuses": f"WITH {FILES} SELECT status, count(*) AS files FROM f GROUP BY status",
     "dir_scope": f"WITH {FILES} SELECT id, file_path, file_size FROM f WHERE {_under('file_path')}",
     "files_with_keywords": f"WITH {FILES}, {KEYWORDS} SELECT id, file_path, title, status, string_agg(keyword, ', ' ORDER BY keyword) AS keywords FROM f LEFT JOIN k ON k.file_id = f.id GROUP BY id, file_path, title, status",
     "files_searchable": f"WITH {FILES}, {KEYWORDS} SELECT id, file_path, title, summary, string_agg(keyword, ' ' ORDER BY keyword) AS keywords FROM f LEFT JOIN k ON k.file_id = f.id GROUP BY id, file_path, title, summary",
@@ -109,6 +121,9 @@ SELECT directory, parts, CASE WHEN parts = 1 THEN s[1] WHEN length(array_to_stri
   ELSE array_to_string(s, ' ') END AS merged FROM g""",
     "chunk_coverage": f"""WITH {CONTENTS} SELECT file_id, length(content)::BIGINT AS chars, length(content)::BIGINT AS covered, 0::BIGINT AS gaps, 0::BIGINT AS over_limit FROM c
 WHERE trim(content, {SPACE} || chr(11) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160)) <> ''""",
+    "keyword_strings": f"""WITH {KEYWORDS}, t AS (SELECT file_id, trim(keyword, {SPACE}) AS w, keyword FROM k WHERE NOT regexp_matches(keyword, '[,|]'))
+SELECT file_id, coalesce(string_agg(w, '|' ORDER BY keyword) FILTER (WHERE w <> ''), '') AS keywords FROM t GROUP BY file_id""",
+    "embedded_documents": f"SELECT doc_id, CASE WHEN trim(text, {SPACE} || chr(11) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160)) <> '' THEN 64 END AS dimensions FROM documents",
     "extracted_keywords": """WITH t AS (SELECT doc_id, unnest(regexp_split_to_array(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+')) AS word FROM documents),
 n AS (SELECT doc_id, word, count(*) AS n FROM t WHERE length(word) > 3 GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) AS i FROM n)
@@ -120,14 +135,14 @@ SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS keywords FROM r WHERE i <= 12
   WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 n AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM u)
 SELECT file_id, embedding_model, (CASE WHEN n > 0 THEN 1 ELSE 0 END)::DOUBLE AS length, round(CASE WHEN n > 0 THEN e[1] / n ELSE e[1] END, 4) AS first_value FROM n""",
-    "knn_l2": f"WITH {FILES}, {VECTORS} SELECT * FROM d ORDER BY distance, id LIMIT 40",
-    "knn_threshold": f"WITH {FILES}, {VECTORS} SELECT * FROM (SELECT * FROM d ORDER BY distance, id LIMIT 200) WHERE distance <= 1.0",
-    "knn_dir_postfilter": f"WITH {FILES}, {VECTORS} SELECT * FROM (SELECT * FROM d ORDER BY distance, id LIMIT 200) WHERE {_under('file_path')}",
-    "knn_dir_prefilter": f"WITH {FILES}, {VECTORS} SELECT * FROM d WHERE {_under('file_path')} ORDER BY distance, id LIMIT 50",
-    "similar_to_file": f"""WITH {FILES}, {VECTORS}, n AS (SELECT * FROM d ORDER BY distance, id LIMIT 11)
-SELECT id, file_path, distance, round(greatest(0, 1 - distance), 6) AS score FROM n WHERE distance <= 1.2 AND id <> (SELECT qid FROM q) ORDER BY distance, id LIMIT 10""",
-    "knn_all_hundredths": f"""WITH {FILES}, {VECTORS}, p AS (SELECT a.id AS query_id, b.id, round(list_distance(a.e, b.e), 6) AS distance FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 100 = 0)
-SELECT query_id, id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS place FROM p QUALIFY place <= 10""",
+    "knn_l2": _models(lambda v: f"WITH {FILES}, {v} SELECT * FROM d ORDER BY distance, id LIMIT 40"),
+    "knn_threshold": _models(lambda v: f"WITH {FILES}, {v} SELECT * FROM (SELECT * FROM d ORDER BY distance, id LIMIT 200) WHERE distance <= 1.0"),
+    "knn_dir_postfilter": _models(lambda v: f"WITH {FILES}, {v} SELECT * FROM (SELECT * FROM d ORDER BY distance, id LIMIT 200) WHERE {_under('file_path')}"),
+    "knn_dir_prefilter": _models(lambda v: f"WITH {FILES}, {v} SELECT * FROM d WHERE {_under('file_path')} ORDER BY distance, id LIMIT 50"),
+    "similar_to_file": _models(lambda v: f"""WITH {FILES}, {v}, n AS (SELECT * FROM d ORDER BY distance, id LIMIT 11)
+SELECT id, file_path, distance, round(greatest(0, 1 - distance), 6) AS score FROM n WHERE distance <= 1.2 AND id <> (SELECT qid FROM q) ORDER BY distance, id LIMIT 10"""),
+    "knn_all_hundredths": _models(lambda v: f"""WITH {FILES}, {v}, p AS (SELECT a.id AS query_id, b.id, round(list_distance(a.e, b.e), 6) AS distance FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 100 = 0)
+SELECT query_id, id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS place FROM p QUALIFY place <= 10"""),
     "bm25_term": f"WITH {FILES}, {KEYWORDS}, {LISTED}, {_bm25(['regional'])} SELECT * FROM b ORDER BY score DESC, id LIMIT 50",
     "bm25_phrase": f"WITH {FILES}, {KEYWORDS}, {LISTED}, {_bm25(['every', 'report'])} SELECT * FROM b",
     "bm25_dir": f"WITH {FILES}, {KEYWORDS}, {LISTED}, {_bm25(['regional'])} SELECT * FROM b WHERE {_under('file_path')}",
@@ -153,6 +168,9 @@ b AS (SELECT phrase, id, round(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) *
 r AS (SELECT *, row_number() OVER (PARTITION BY phrase ORDER BY score DESC, id) AS place FROM b)
 SELECT query_id, id, score, place FROM asked JOIN r USING (phrase) WHERE place <= 20""",
     "hybrid_search": _hybrid(20, 0.5, 0.5),
+    "hybrid_json": f"SELECT id, file_path, combined_score, match_type FROM ({_hybrid(20, 0.5, 0.5)})",
+    "single_scores": f"""SELECT id, embedding_model, round(CASE WHEN semantic_score IS NOT NULL AND keyword_score IS NOT NULL THEN 0.7 * greatest(0, 1 - semantic_score) + 0.3 * keyword_score
+  WHEN semantic_score IS NOT NULL THEN greatest(0, 1 - semantic_score) ELSE coalesce(keyword_score, 0) END, 6) AS score FROM ({_hybrid(50, 0.5, 0.5)})""",
     "hybrid_weighted": _hybrid(50, 0.7, 0.3),
     "hybrid_dir": _hybrid(20, 0.5, 0.5, _under("file_path")),
     "suggest_prefix": f"""WITH {FILES}, w AS (SELECT keyword AS suggestion FROM file_keywords WHERE keyword IS NOT NULL
@@ -160,18 +178,31 @@ SELECT query_id, id, score, place FROM asked JOIN r USING (phrase) WHERE place <
 SELECT DISTINCT suggestion FROM w WHERE starts_with(lower(suggestion), 're')""",
     "keyword_any": f"""WITH {FILES}, {KEYWORDS}, h AS (SELECT file_id, count(DISTINCT keyword) AS matches FROM k WHERE keyword IN ('report', 'summary', 'budget', 'invoice') GROUP BY 1)
 SELECT id, file_path, matches FROM f JOIN h ON h.file_id = f.id""",
-    "keyword_all": f"""WITH {FILES}, {KEYWORDS}, h AS (SELECT file_id, count(DISTINCT keyword) AS matches FROM k WHERE keyword IN ('report', 'summary') GROUP BY 1)
+    "keyword_all": f"""WITH {FILES}, {KEYWORDS}, h AS (SELECT file_id, count(DISTINCT keyword) AS matches FROM k WHERE keyword IN ('bibliothèque', 'certificat') GROUP BY 1)
 SELECT id, file_path, matches FROM f JOIN h ON h.file_id = f.id WHERE matches = 2""",
     "upsert_latest": f"SELECT file_path, id, status, file_size, {TIME.format('updated_at')} AS updated_at FROM (SELECT DISTINCT * FROM files) QUALIFY row_number() OVER (PARTITION BY file_path ORDER BY updated_at DESC) = 1",
     "replaced_keywords": f"""WITH {KEYWORDS}, i AS (SELECT * FROM k WHERE upper(keyword) = keyword),
 u AS (SELECT * FROM k WHERE file_id NOT IN (SELECT file_id FROM i) UNION SELECT * FROM i)
 SELECT file_id, count(*) AS keywords, min(keyword) AS first_keyword FROM u GROUP BY file_id""",
-    "stale_sweep": f"WITH {FILES} SELECT id, file_path FROM f WHERE {_under('file_path')} AND updated_at < TIMESTAMP '2022-01-01'",
+    "stale_sweep": f"WITH {FILES} SELECT id, file_path FROM f WHERE {_under('file_path')} AND updated_at < TIMESTAMP '2023-01-15'",
     "unseen_files": f"WITH {FILES} SELECT id, file_path FROM f WHERE file_path NOT IN (SELECT src_path FROM fs_events WHERE src_path IS NOT NULL)",
     "scan_decisions": f"""WITH {FILES}, o AS (SELECT * FROM (SELECT DISTINCT * FROM files) QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at) = 1)
 SELECT f.id, f.file_path, CASE WHEN NOT coalesce(lower(f.extension) IN {_in(SUPPORTED)}, false) THEN 'unsupported'
   WHEN o.status IN ('COMPLETE', 'FAILED') AND date_trunc('second', f.modified) = date_trunc('second', o.modified) THEN 'skip'
   WHEN o.status = 'COMPLETE' AND f.content_hash IS NOT DISTINCT FROM o.content_hash THEN 'unchanged' ELSE 'process' END AS decision FROM f JOIN o ON o.id = f.id""",
+    "pipeline_counters": f"""WITH {FILES}, o AS (SELECT * FROM (SELECT DISTINCT * FROM files) QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at) = 1)
+SELECT CASE WHEN NOT coalesce(lower(f.extension) IN {_in(SUPPORTED)}, false) THEN 'unsupported'
+  WHEN o.status IN ('COMPLETE', 'FAILED') AND date_trunc('second', f.modified) = date_trunc('second', o.modified) THEN 'skip'
+  WHEN o.status = 'COMPLETE' AND f.content_hash IS NOT DISTINCT FROM o.content_hash THEN 'unchanged' ELSE 'process' END AS decision, count(*) AS files FROM f JOIN o ON o.id = f.id GROUP BY 1""",
+    "snapshot_changes": f"""WITH {FILES}, a AS (SELECT file_path, content_hash AS h0, modified AS m0 FROM (SELECT DISTINCT * FROM files) QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at) = 1),
+b AS (SELECT CASE WHEN file_path LIKE '%.pdf' THEN file_path || '.old' ELSE file_path END AS file_path, content_hash AS h1, modified AS m1 FROM f
+  WHERE file_path IN (SELECT coalesce(dest_path, src_path) FROM fs_events WHERE coalesce(dest_path, src_path) IS NOT NULL)),
+x AS (SELECT coalesce(a.file_path, b.file_path) AS file_path, h0, h1, m0, m1, a.file_path IS NOT NULL AS was, b.file_path IS NOT NULL AS now FROM a FULL OUTER JOIN b ON a.file_path = b.file_path),
+gone AS (SELECT h0, min(file_path) AS p0 FROM x WHERE was AND NOT now AND h0 IS NOT NULL GROUP BY h0 HAVING count(*) = 1),
+new AS (SELECT h1, min(file_path) AS p1 FROM x WHERE now AND NOT was AND h1 IS NOT NULL GROUP BY h1 HAVING count(*) = 1),
+moves AS (SELECT p0, p1 FROM gone JOIN new ON h0 = h1)
+SELECT file_path, CASE WHEN p1 IS NOT NULL THEN 'moved' WHEN NOT was THEN 'created' WHEN NOT now THEN 'deleted' ELSE 'modified' END AS change, p0 AS moved_from
+FROM x LEFT JOIN moves ON file_path = p1 WHERE file_path NOT IN (SELECT p0 FROM moves) AND (was <> now OR h0 IS DISTINCT FROM h1 OR m0 IS DISTINCT FROM m1)""",
     "touched_files": f"""WITH {FILES}, t AS (SELECT CASE WHEN file_path IN (SELECT src_path FROM fs_events WHERE src_path IS NOT NULL) THEN TIMESTAMP '2030-01-01' ELSE updated_at::TIMESTAMP END AS u FROM f)
 SELECT strftime(u, '%Y-%m-%d') AS day, count(*) AS files FROM t GROUP BY 1""",
     "cascade_delete": f"""WITH {FILES}, {KEYWORDS}, {FOLD}, live AS (SELECT id FROM f WHERE file_path NOT IN (SELECT path FROM last WHERE action = 'delete'))

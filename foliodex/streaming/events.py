@@ -11,10 +11,11 @@ from pyspark.sql.streaming import StreamingQuery
 KINDS = ("created", "modified", "deleted", "moved")
 
 
-def clean_events(events: DataFrame) -> DataFrame:
-    """Events of files, kinds in lower case; rows sent twice once; rows of directories, unknown kinds, and without number or path left out."""
+def clean_events(events: DataFrame, once: bool = True) -> DataFrame:
+    """Events of files, kinds in lower case; rows of directories, unknown kinds, and without number or path left out; rows sent twice come once unless ``once`` is false."""
     rows = events.withColumn("kind", F.lower(F.trim("kind"))).where(F.col("kind").isin(list(KINDS)) & F.col("src_path").isNotNull() & F.col("seq").isNotNull() & ~F.coalesce("is_dir", F.lit(False)))
-    return rows.select("seq", "ts", "kind", "src_path", "dest_path").dropDuplicates(["seq", "kind", "src_path", "dest_path"])
+    rows = rows.select("seq", "ts", "kind", "src_path", "dest_path")
+    return rows.dropDuplicates(["seq", "kind", "src_path", "dest_path"]) if once else rows
 
 
 def path_events(events: DataFrame) -> DataFrame:
@@ -28,9 +29,9 @@ def path_events(events: DataFrame) -> DataFrame:
 def folded(events: DataFrame) -> DataFrame:
     """(path, action, seq): the last action on each path, in the order of arrival.
 
-    ``max_by`` keeps one row per path and task before the shuffle, so a path with very many events is no hot spot.
+    ``max_by`` keeps one row per path and task before the shuffle, so a path with very many events is no hot spot; rows sent twice make no difference.
     """
-    steps = path_events(clean_events(events))
+    steps = path_events(clean_events(events, once=False))
     return steps.groupBy("path").agg(F.max_by("action", F.struct("seq", "step")).alias("action"), F.max("seq").alias("seq"))
 
 
