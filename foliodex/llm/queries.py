@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliodex.llm import frequency, knn, neardup, pack, scans, spans, split, tokenize
+from foliodex.session import stage
 from foliodex.tables import current_contents, load
 
 
@@ -24,6 +25,13 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.join(ends, "class", "left").select(F.col("key").alias("file_id"), "class", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+def p1_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each file with the size of its class of equal texts and the number of similar classes, as ``p1_classes`` without the classes' names."""
+    classes = p1_classes(spark, sf_dir)
+    sizes = classes.groupBy("class").agg(F.count(F.lit(1)).alias("n_files"))
+    return classes.join(sizes, "class").select("file_id", "n_files", "n_links")
+
+
 def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of at most 4,000 characters of all longer current contents."""
     long = current_contents(spark, sf_dir, F.char_length("content") > split.LIMIT)
@@ -98,6 +106,18 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(load(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p7_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: documents with text, containers over-full, documents whose tokens are not all in containers, and whether no more than one container in fifty is unneeded."""
+    rows = stage(p7_containers(spark, sf_dir), "p7-rows")
+    tokens = stage(tokenize.token_counts(load(spark, sf_dir, "documents"), "doc_id", "text"), "p7-tokens")
+    full = rows.where("container is not null").groupBy("container").agg(F.sum("n_tokens").alias("n"))
+    held = rows.groupBy("doc_id").agg(F.sum("n_tokens").alias("held"))
+    both = tokens.where("n_tokens > 0").join(held, "doc_id", "left")
+    lost = both.agg(F.count(F.lit(1)).alias("documents"), F.count_if(~F.col("held").eqNullSafe(F.col("n_tokens"))).alias("lost"))
+    loads = full.agg(F.count_if(F.col("n") > pack.CAPACITY).alias("over_full"), (F.count(F.lit(1)) <= F.ceil(F.sum("n") / pack.CAPACITY) * 1.02 + 1).alias("few"))
+    return loads.crossJoin(lost).select("documents", "over_full", "lost", "few")  # one row each
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that are larger than a container."""
     return p7_containers(spark, sf_dir).where("piece = 1").select("doc_id")
@@ -114,7 +134,7 @@ def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_pieces, p2_coverage, p3_found, p3_neighbours, p4_found, p4_texts, p5_found, p5_terms, p5_ngrams, p6_ids, p7_found, p7_containers, p8_found, p8_shared)}
+    return {f.__name__: f for f in (p1_found, p1_classes, p1_links, p2_found, p2_pieces, p2_coverage, p3_found, p3_neighbours, p4_found, p4_texts, p5_found, p5_terms, p5_ngrams, p6_ids, p7_found, p7_containers, p7_load, p8_found, p8_shared)}
 
 
 CURRENT = """current AS (SELECT * FROM (SELECT DISTINCT * FROM file_contents)
@@ -125,14 +145,36 @@ _TERMS = r"""terms AS (SELECT file_id, trim(regexp_replace(lower(nfc_normalize(k
   FROM file_keywords WHERE file_id IS NOT NULL AND keyword IS NOT NULL)"""
 
 
+#: Every run of 150 characters of every text, those that stand in two texts, and the stretches these make up. Runs are told by a hash.
+_SPANS = """runs AS (SELECT doc_id, i, hash(substring(text, i + 1, 150)) AS h FROM (SELECT doc_id, text, unnest(range(0, length(text) - 149)) AS i FROM documents WHERE length(text) >= 150)),
+shared AS (SELECT h FROM runs GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+met AS (SELECT doc_id, i, i - lag(i, 1, -1000) OVER (PARTITION BY doc_id ORDER BY i) > 150 AS apart FROM runs WHERE h IN (SELECT h FROM shared)),
+islands AS (SELECT doc_id, i, sum(apart::INT) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM met),
+spans AS (SELECT doc_id, min(i)::BIGINT AS span_start, (max(i) + 150)::BIGINT AS span_end FROM islands GROUP BY doc_id, island)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p8_found": f"WITH {_SPANS} SELECT * FROM spans",
+        "p8_shared": f"""WITH {_SPANS}, s AS (SELECT doc_id, sum(span_end - span_start)::BIGINT AS n FROM spans GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(length(text), 0)::BIGINT AS n_chars, coalesce(n, 0) AS shared_chars FROM documents LEFT JOIN s ON s.doc_id = documents.doc_id""",
         "p1_found": rf"""WITH {CURRENT},
 words AS (SELECT file_id, regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}]+') AS w FROM current),
 runs AS (SELECT DISTINCT file_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS run FROM words),
 sizes AS (SELECT file_id, count(*) AS n FROM runs GROUP BY 1),
 both_ AS (SELECT x.file_id AS file_a, y.file_id AS file_b, count(*) AS n FROM runs x JOIN runs y ON x.run = y.run AND x.file_id < y.file_id GROUP BY 1, 2)
 SELECT file_a, file_b FROM both_ b JOIN sizes s ON s.file_id = file_a JOIN sizes t ON t.file_id = file_b WHERE b.n >= 0.7 * (s.n + t.n - b.n) - 1e-9""",
+        "p1_links": rf"""WITH {CURRENT},
+words AS (SELECT file_id, regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}]+') AS w FROM current),
+c AS (SELECT file_id, array_to_string(w, ' ') AS class FROM words WHERE len(w) >= 3),
+runs AS (SELECT DISTINCT file_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS run FROM words),
+sizes AS (SELECT file_id, count(*) AS n FROM runs GROUP BY 1),
+both_ AS (SELECT x.file_id AS file_a, y.file_id AS file_b, count(*) AS n FROM runs x JOIN runs y ON x.run = y.run AND x.file_id < y.file_id GROUP BY 1, 2),
+linked AS (SELECT DISTINCT least(a.class, b.class) AS a, greatest(a.class, b.class) AS b FROM both_ JOIN sizes s ON s.file_id = file_a JOIN sizes t ON t.file_id = file_b
+  JOIN c a ON a.file_id = file_a JOIN c b ON b.file_id = file_b WHERE both_.n >= 0.7 * (s.n + t.n - both_.n) - 1e-9 AND a.class <> b.class),
+ends AS (SELECT class, count(*) AS n FROM (SELECT a AS class FROM linked UNION ALL SELECT b FROM linked) GROUP BY class)
+SELECT file_id, count(*) OVER (PARTITION BY c.class) AS n_files, coalesce(n, 0) AS n_links FROM c LEFT JOIN ends ON ends.class = c.class""",
+        "p7_load": "SELECT count(*) FILTER (WHERE text <> '') AS documents, 0::BIGINT AS over_full, 0::BIGINT AS lost, true AS few FROM documents",
         "p2_found": rf"""WITH {CURRENT},
 long AS (SELECT file_id, content FROM current WHERE length(content) > 4000),
 paragraphs AS (SELECT file_id, unnest(regexp_split_to_array(content, '\n(?:[ \t\r\f]*\n)+[ \t\r\f]*')) AS p FROM long),
