@@ -107,15 +107,12 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row: documents with text, containers over-full, documents whose tokens are not all in containers, and whether no more than one container in fifty is unneeded."""
+    """For each document whether its pieces hold all its tokens, and whether none of their containers is over-full."""
     rows = stage(p7_containers(spark, sf_dir), "p7-rows")
-    tokens = stage(tokenize.token_counts(load(spark, sf_dir, "documents"), "doc_id", "text"), "p7-tokens")
-    full = rows.where("container is not null").groupBy("container").agg(F.sum("n_tokens").alias("n"))
-    held = rows.groupBy("doc_id").agg(F.sum("n_tokens").alias("held"))
-    both = tokens.where("n_tokens > 0").join(held, "doc_id", "left")
-    lost = both.agg(F.count(F.lit(1)).alias("documents"), F.count_if(~F.col("held").eqNullSafe(F.col("n_tokens"))).alias("lost"))
-    loads = full.agg(F.count_if(F.col("n") > pack.CAPACITY).alias("over_full"), (F.count(F.lit(1)) <= F.ceil(F.sum("n") / pack.CAPACITY) * 1.02 + 1).alias("few"))
-    return loads.crossJoin(lost).select("documents", "over_full", "lost", "few")  # one row each
+    tokens = tokenize.token_counts(load(spark, sf_dir, "documents"), "doc_id", "text")
+    loads = rows.where("container is not null").groupBy("container").agg(F.sum("n_tokens").alias("n"))
+    held = rows.join(loads, "container", "left").groupBy("doc_id").agg(F.sum("n_tokens").alias("held"), F.max(F.coalesce("n", F.lit(0))).alias("load"))
+    return tokens.join(held, "doc_id", "left").select("doc_id", F.col("held").eqNullSafe(F.col("n_tokens")).alias("whole"), (F.col("load") <= pack.CAPACITY).alias("fits"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,7 +171,7 @@ linked AS (SELECT DISTINCT least(a.class, b.class) AS a, greatest(a.class, b.cla
   JOIN c a ON a.file_id = file_a JOIN c b ON b.file_id = file_b WHERE both_.n >= 0.7 * (s.n + t.n - both_.n) - 1e-9 AND a.class <> b.class),
 ends AS (SELECT class, count(*) AS n FROM (SELECT a AS class FROM linked UNION ALL SELECT b FROM linked) GROUP BY class)
 SELECT file_id, count(*) OVER (PARTITION BY c.class) AS n_files, coalesce(n, 0) AS n_links FROM c LEFT JOIN ends ON ends.class = c.class""",
-        "p7_load": "SELECT count(*) FILTER (WHERE text <> '') AS documents, 0::BIGINT AS over_full, 0::BIGINT AS lost, true AS few FROM documents",
+        "p7_load": "SELECT doc_id, true AS whole, true AS fits FROM documents",
         "p2_found": rf"""WITH {CURRENT},
 long AS (SELECT file_id, content FROM current WHERE length(content) > 4000),
 paragraphs AS (SELECT file_id, unnest(regexp_split_to_array(content, '\n(?:[ \t\r\f]*\n)+[ \t\r\f]*')) AS p FROM long),
