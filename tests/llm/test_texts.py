@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from foliodex.llm import company, frequency, scans, split
 
@@ -201,6 +202,43 @@ def test_vectors_are_factors_of_the_table(spark):
     assert company.word_vectors(df.limit(0), none).count() == 0 and none.fit_of([], ["the"]) == 0.0
 
 
+PAIRS = "word string, origin string, v array<float>, u array<float>"
+
+
+def test_misreadings_are_learned_from_all_pairs(spark):
+    word = F.concat(F.lit("word"), F.translate("id", "0123456789", "abdfghijkl"))
+    made = F.when(F.col("id") % 100 == 0, F.lit("1")).otherwise(F.lit("c"))  # 270 of 27,000
+    meant = F.when(F.col("id") % 100 == 0, F.lit("i")).otherwise(F.lit("e"))
+    pairs = spark.range(27_000).select(F.concat(word, made).alias("word"), F.concat(word, meant).alias("origin"), F.array(F.lit(1.0)).cast("array<float>").alias("v"), F.array(F.lit(1.0)).cast("array<float>").alias("u"))
+    controls = spark.range(25_000).select(F.concat(word, F.lit("c")).alias("word"), F.concat(word, F.lit("e")).alias("origin"))
+    got = company.learn_misreadings(pairs, controls, 300_000, 900_000, "-")
+    weight = lambda n, chance: np.log((n + 0.5) / (300_000 * (chance + 0.5) / 901_000 + 0.3))
+    assert got.weights == pytest.approx({("1", "i"): weight(270, 0), ("c", "e"): weight(26_730, 25_000)})
+
+
+def test_unlike_company_is_that_of_all_other_words(spark):
+    rng = np.random.default_rng(4)
+    v, u = rng.normal(0.3, 1, (60, 5)), rng.normal(0.3, 1, (60, 5))
+    u[::2] = v[::2] + rng.normal(0, 0.5, (30, 5))
+    rows = [(f"stat{i:02}mcnt", f"stat{i:02}ment" if i % 3 else f"stat{i:02}mcn", v[i].tolist(), u[i].tolist()) for i in range(60)]  # a third is no misreading, but company all the same
+    none = [("statemcnt", "statement", [], []), ("statemcnt", "statement", None, [1.0])]
+    got = company.learn_misreadings(spark.createDataFrame(rows + none, PAIRS).repartition(3), spark.createDataFrame([], "word string, origin string"), 60, 1000, "-")
+    cosines = (v / np.linalg.norm(v, axis=1)[:, None]) @ (u / np.linalg.norm(u, axis=1)[:, None]).T
+    own, others = np.diag(cosines)[[i for i in range(60) if i % 3]], cosines[~np.eye(60, dtype=bool)]
+    assert set(got.weights) == {("c", "e")}
+    assert got.like == pytest.approx((own.mean(), own.std()), abs=1e-6) and got.unlike == pytest.approx((others.mean(), others.std()), abs=1e-6)
+    empty = company.learn_misreadings(spark.createDataFrame(none, PAIRS), spark.createDataFrame([], "word string, origin string"), 0, 0, "-")
+    assert empty == company.Misreadings({}, (0.3, 0.25), (0.05, 0.2))
+
+
+def test_all_rare_words_of_other_texts_are_controls(spark, monkeypatch):
+    asked, learn = [], scans.learn_misreadings
+    monkeypatch.setattr(scans, "learn_misreadings", lambda pairs, controls, n_odd, n_controls, hyphens: asked.append(n_controls) or learn(pairs, controls, n_odd, n_controls, hyphens))
+    known = spark.range(21_000).select(F.concat(F.lit("word"), "id").alias("word"), F.lit(1).cast("long").alias("clean"), F.lit(0).cast("long").alias("scan"))
+    scans.links(known.select("word").limit(0), known, spark.createDataFrame([], "text string, letters string"))
+    assert asked == [21_000]
+
+
 def test_the_origin_that_fits_its_place():
     model = company.Company({"the": 0, "we": 1}, np.array([0.5, 0.5]), np.array([[1.0, 0.0], [0.0, 1.0]]), np.ones(2))
     options = [{"origin": "noun", "fit": 1.0, "vector": [1.0, 0.0]}, {"origin": "verb", "fit": 1.0, "vector": [0.0, 1.0]}]
